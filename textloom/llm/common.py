@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: The same in DuckDB.
+WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+')"
 #: Rows up to which one side of a join is broadcast; more are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -64,28 +67,10 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
+    """Lower-cased runs of letters, marks and digits: the words of every operator here, spelt out."""
     return WORD.findall(text.lower()) if text else []
 
 
-class WordHash:
-    """64-bit hashes of words that are the same in every process: pandas' keyed SipHash, computed once for each word in a batch."""
-
-    def __init__(self, most: int = 400_000):
-        self.codes: dict[str, int] = {}
-        self.most = most
-
-    def batch(self, docs: list[list[str]]) -> list[np.ndarray]:
-        if len(self.codes) > self.most:
-            self.codes.clear()
-        codes = self.codes
-        new = list({w for d in docs for w in d if w not in codes})
-        if new:
-            codes.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist()))
-        get = codes.__getitem__
-        return [np.fromiter(map(get, d), dtype=np.uint64, count=len(d)) for d in docs]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,12 +78,107 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams in order. Fewer than n words make one n-gram of all of them; no words make none."""
-    if len(codes) == 0:
-        return codes
-    n = min(n, len(codes))
+_RADIX = 0x9E3779B97F4A7C15
+_INVERSE = pow(_RADIX, -1, 1 << 64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+#: Bytes of text that are hashed at once, so that the arrays stay in the processor's cache.
+_SLICE = 1 << 19
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_RADIX, _INVERSE)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
+def _codes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def raw(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)
+        data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] else np.zeros(0, np.uint8)
+        return data[at[0] : at[-1]], at - at[0]
+
+    low = pc.utf8_lower(rows)
+    data, at = raw(low)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(rows) + 1, np.int64)
+    lead = np.bincount(data, minlength=256)
+    if lead[0xC2] or lead[0xC6:].any() or (lead[0xC3] and (lead[0x97] or lead[0xB7])):
+        data, at = raw(pc.replace_substring_regex(low, r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " "))
+        n = len(data)
+    is_word = _IS_WORD[data]
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    before = np.empty(n, bool)
+    before[0], before[1:] = False, is_word[:-1]
+    first = np.flatnonzero(is_word & (~before | edge[:-1]))
+    after = np.empty(n, bool)
+    after[-1], after[:-1] = False, is_word[1:]
+    last = np.flatnonzero(is_word & (~after | edge[1:])) + 1
+    up, down = _power(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    codes = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return codes, np.searchsorted(first, at)
+
+
+def word_codes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows in order, and where each row's begin: row i has codes[at[i]:at[i + 1]]. Words as
+    in words(). Null is empty. Nothing runs per word: a polynomial over all bytes is summed once, and a word is a difference of two sums."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    out, ats, k = [], [np.zeros(1, np.int64)], 0
+    while k < len(texts):
+        end = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + _SLICE)))
+        codes, at = _codes(texts.slice(k, end - k))
+        out.append(codes)
+        ats.append(at[1:] + ats[-1][-1])
+        k = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(ats)
+
+
+def rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of codes[i:i + n] for each i, regardless of rows."""
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
     out = codes[: len(codes) - n + 1].copy()
     for k in range(1, n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - n + 1 + k]
+        out *= np.uint64(_RADIX)
+        out += codes[k : len(codes) - n + 1 + k]
     return mix(out)
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] of them, then those of first[1] and so on."""
+    before = np.cumsum(count) - count
+    return np.repeat(first - before, count) + np.arange(int(count.sum()))
+
+
+def gram_codes(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram hashes of each row and where they begin. A row of 1 to n - 1 words has one n-gram of all of them, an empty row none."""
+    count = np.diff(at)
+    grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    where = np.concatenate([[0], np.cumsum(grams)])
+    out = np.empty(int(where[-1]), np.uint64)
+    full = count >= n
+    all_grams = rolled(codes, n)
+    into = ranges(where[:-1][full], grams[full])
+    out[into] = all_grams[ranges(at[:-1][full], grams[full])]
+    for i in np.flatnonzero((count > 0) & ~full):
+        out[where[i]] = rolled(codes[at[i] : at[i + 1]], int(count[i]))[0]
+    return out, where
+
+
+def row_ids(at: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def as_signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
