@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,3 +183,10 @@ def row_ids(at: np.ndarray) -> np.ndarray:
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows: arrays over the words of thousands of documents at once would need hundreds of MB."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORDS_SQL, rolled, row_ids, word_codes, words
+from .common import WORD, WORDS_SQL, pieces, rolled, row_ids, word_codes, words
 
 N = 8
 LEAST = 5
@@ -104,7 +104,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared.value)
-        for b in batches:
+        for b in pieces(batches):
             ids, out = b.column(0), []
             for i, hit, count in scan(b.column(1)):
                 out += [{"doc_id": ids[i].as_py(), **s, "doc_words": count} for s in hit]
@@ -153,7 +153,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared.value)
-        for b in batches:
+        for b in pieces(batches):
             names = b.schema.names
             at = names.index(text_col)
             keep, new = np.ones(b.num_rows, bool), {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolled, row_ids, sized, uniform, word_codes, written
+from .common import pieces, rolled, row_ids, sized, uniform, word_codes, written
 
 BUCKETS = 10_000
 SHARE = 0.5
@@ -41,7 +41,7 @@ def buckets(texts: pa.Array, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int64)
-    for b in batches:
+    for b in pieces(batches):
         rows, x = buckets(b.column(0))
         target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
         total[0] += np.bincount(x, minlength=BUCKETS)
@@ -96,7 +96,7 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     shared = spark.sparkContext.broadcast(ratios(bags.get(0, zero), bags.get(1, zero)))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows, x = buckets(b.column(3))
             count = np.bincount(rows, minlength=b.num_rows)
             weight = np.bincount(rows, shared.value[x], b.num_rows)

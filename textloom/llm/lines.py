@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_signed, mix, row_ids, word_codes
+from .common import WORD, as_signed, mix, pieces, row_ids, word_codes
 
 GRAM_WORDS = 25
 WINDOW = 4
@@ -96,7 +96,7 @@ def fingerprints(hashes: np.ndarray, count: np.ndarray, rows: np.ndarray, n_rows
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         hashes, count, rows = line_hashes(b.column(1))
         fp, first, end, n_words = fingerprints(hashes, count, rows, b.num_rows)
         of = rows[first]

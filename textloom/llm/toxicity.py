@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ids, sized, uniform, word_codes
+from .common import pieces, row_ids, sized, uniform, word_codes
 
 MOST_LABELLED = 20_000
 BITS = 18
@@ -178,7 +178,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         used = np.any([m.weights != 0 for m in c.models], axis=0)
-        for b in batches:
+        for b in pieces(batches):
             p = c.probabilities(b.num_rows, *word_buckets(b.column(1), used))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.round(x, 6)) for x in p.T), pa.array(p[:, 0] >= c.cutoff)], names=["doc_id", *(f"p_{n}" for n in c.names), "toxic"])
 
