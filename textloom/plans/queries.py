@@ -1,2 +1,97 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the text engine and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import hangul
+
+URL = r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?(?:/[^ \"'<>\n]*)?"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+HASHTAG = r"#[^#\s.,()\[\]<>{}\"]+"
+WORD = "[^ \\n\\t\\r\\f]+"
+NOUNS = ("시동", "시도", "바닥", "한국", "나무", "됬다")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages")
+    count = lambda c, x: F.regexp_count(c, F.lit(x)).cast("bigint")
+    return p.select("page_id", count("url", URL).alias("urls"), count("html", EMAIL).alias("emails"), count("html", HASHTAG).alias("hashtags"))
+
+
+def whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", hangul.collapse_space(F.col("text")).alias("text"))
+
+
+def _nouns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in NOUNS], "noun string")
+
+
+def hangul_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nouns(spark).select("noun", hangul.normalize_hangul(F.col("noun")).alias("normal"))
+
+
+def particle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nouns(spark).select("noun", hangul.particle(F.col("noun"), "을", "를").alias("object"), hangul.particle(F.col("noun"), "이", "가").alias("subject"))
+
+
+def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace("text", "[ \\t\\r\\n\\f]+", ""), "")).alias("chr"))
+    return chars.where("chr != ''").groupBy("chr").agg(F.count("*").alias("n")).where("n >= 10")
+
+
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("bigint").alias("n_lines"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))
+
+
+def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(F.element_at("w", (i + 1).cast("int")).alias("x"), x.alias("y")))
+    return words.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.x", "p.y")
+
+
+def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bigrams(spark, sf_dir).groupBy("x", "y").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("df")).where("n >= 5")
+
+
+def continuation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney continuation counts: the different words before each word."""
+    return _bigrams(spark, sf_dir).select("x", "y").distinct().groupBy(F.col("y").alias("word")).agg(F.count("*").alias("contexts")).where("contexts >= 2")
+
+
+def char_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent characters that make up 99 % of the text. The running sum is over the alphabet, not the text."""
+    counts = char_counts(spark, sf_dir)
+    order = Window.orderBy(F.desc("n"), F.asc("chr"))
+    running = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    return running.where("before * 100 < total * 99").select("chr", "n")
+
+
+QUERIES = {f.__name__: f for f in (pattern_scan, whitespace, hangul_normalize, particle_choice, char_counts, line_counts, bigram_counts, continuation_counts, char_coverage)}
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "\\n") + "'"
+
+
+_VALUES = "(VALUES " + ", ".join(f"('{n}')" for n in NOUNS) + ") AS v(noun)"
+_CODA = "(unicode(right(noun, 1)) BETWEEN 44032 AND 55203 AND (unicode(right(noun, 1)) - 44032) % 28 > 0)"
+_CHARS = "SELECT chr, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[ \\t\\r\\n\\f]+', '', 'g'), '')) AS chr FROM documents) WHERE chr != '' GROUP BY chr HAVING count(*) >= 10"
+_PAIRS = f"SELECT doc_id, w[k] AS x, w[k + 1] AS y FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents))"
+ORACLES = {
+    "pattern_scan": f"SELECT page_id, len(regexp_extract_all(url, {_q(URL)})) AS urls, len(regexp_extract_all(html, {_q(EMAIL)})) AS emails, len(regexp_extract_all(html, {_q(HASHTAG)})) AS hashtags FROM pages",
+    "whitespace": "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS text FROM documents",
+    "hangul_normalize": f"""SELECT noun, array_to_string(list_transform(string_split(replace(noun, '됬', '됐'), ''), lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 AND (unicode(c) - 44032) % 28 > 0
+        THEN chr(unicode(c) - (unicode(c) - 44032) % 28) || chr(4519 + (unicode(c) - 44032) % 28) ELSE c END), '') AS normal FROM {_VALUES}""",
+    "particle_choice": f"SELECT noun, noun || CASE WHEN {_CODA} THEN '을' ELSE '를' END AS object, noun || CASE WHEN {_CODA} THEN '이' ELSE '가' END AS subject FROM {_VALUES}",
+    "char_counts": _CHARS,
+    "line_counts": f"SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(regexp_extract_all(text, '{WORD}')) AS n_words FROM documents",
+    "bigram_counts": f"SELECT x, y, count(*) AS n, count(DISTINCT doc_id) AS df FROM ({_PAIRS}) GROUP BY x, y HAVING count(*) >= 5",
+    "continuation_counts": f"SELECT y AS word, count(DISTINCT x) AS contexts FROM ({_PAIRS}) GROUP BY y HAVING count(DISTINCT x) >= 2",
+    "char_coverage": f"SELECT chr, n FROM (SELECT *, sum(n) OVER (ORDER BY n DESC, chr ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total FROM ({_CHARS})) WHERE before * 100 < total * 99",
+}
