@@ -1,0 +1,130 @@
+"""Small fixtures: nulls, empty and long texts, repeats, empty tables and clashing columns, and brute force where SQL can't say it."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from textloom.llm import decontaminate, importance, infinigram, langid, lines, mixing, near, quality, secrets, toxicity
+from textloom.llm.common import words
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, fp string"
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def text(seed: int, n: int = 60) -> str:
+    r = random.Random(seed)
+    return " ".join("".join(r.choices("abcdefghij", k=6)) + ("." if i % 7 == 6 else "") for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    shared = text(99, 60)
+    near_copy = text(1).replace(text(1).split()[3], "changed")
+    rows = [(1, text(1)), (2, near_copy), (3, text(1)), (3, text(1)), (4, None), (5, ""), (6, text(6, 3000)), (7, text(7) + "\n" + shared), (8, text(8) + "\n" + shared), (None, text(9)), (10, "a"), (11, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x')]
+    return spark.createDataFrame([(i, t, None if i == 7 else "en", None if i == 8 else f"s{(i or 0) % 2}", len(t or ""), 1, "x") for i, t in rows], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None), (99, 1, 1)], LABELS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def test_near_pairs_are_those_of_brute_force(docs):
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(docs).collect()}
+    grams = {}
+    for r in docs.where("doc_id is not null").collect():
+        w = words(r.text)
+        grams[r.doc_id] = frozenset(tuple(w[k : k + near.N]) for k in range(max(1, len(w) - near.N + 1))) if w else frozenset()
+    reps = {}
+    for d, g in sorted(grams.items()):
+        reps.setdefault(g, []).append(d)
+    want = {(ids[0], ids[1]): 1.0 for g, ids in reps.items() if g and len(ids) > 1}
+    for (g, x), (h, y) in itertools.combinations(reps.items(), 2):
+        if g and h and len(g & h) / len(g | h) >= near.THRESHOLD:
+            want[(min(x[0], y[0]), max(x[0], y[0]))] = len(g & h) / len(g | h)
+    assert got == pytest.approx(want)
+    kept = [r.doc_id for r in near.one_of_each(docs).collect()]
+    assert sorted(x or 0 for x in kept) == [0, 1, 4, 5, 6, 7, 8, 10, 11]
+
+
+def test_similar_sets_always_share_a_signature():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3, 5, 6, 17, 64, 300):
+        for _ in range(20):
+            a = np.unique(rng.integers(1, 1 << 60, size, dtype=np.uint64))
+            b = a.copy()
+            change = rng.random(len(b)) < 0.3
+            b[change] = rng.integers(1, 1 << 60, int(change.sum()), dtype=np.uint64)
+            b = np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if both / (len(a) + len(b) - both) < near.THRESHOLD:
+                continue
+            for cut in (0, 1 << 58, 1 << 61):
+                x, y = (near.signatures(s[np.lexsort((s, s > cut))], np.sort(s > cut), near.THRESHOLD) for s in (a, b))
+                assert len(np.intersect1d(x, y)), (size, cut)
+
+
+def test_line_dedup_removes_the_later_passage(docs):
+    out = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    shared = text(99, 60).split()
+    assert all(w in out[7] for w in shared)
+    assert sum(w in out[8] for w in shared) <= 5
+    assert out[4] is None and out[5] == "" and out[6] == text(6, 3000)
+
+
+def test_decontamination(spark, docs, none):
+    bench = spark.createDataFrame([(1, " ".join(text(6, 3000).split()[100:120]), 0), (2, None, 0), (None, "x", 0), (3, "a b", 0)], "item_id bigint, text string, n_chars int")
+    want = [(6, 1, 100, 119)]
+    assert [tuple(r)[:4] for r in decontaminate.spans(docs, bench).collect()] == want
+    assert [(r.doc_id, r.item_id, r.first_word, r.last_word) for r in decontaminate.spans(docs, bench, most=1).collect()] == want
+    out = {r.doc_id: r for r in decontaminate.decontaminated(docs, bench).collect()}
+    assert len(words(out[6].text)) == 2980 and out[6].n_chars == len(out[6].text)
+    assert decontaminate.spans(none, bench).count() == 0
+
+
+def test_fitted_takes_the_most_that_fits():
+    r = random.Random(5)
+    for _ in range(30):
+        counts = {r.randint(1, 40): r.randint(1, 4) for _ in range(5)}
+        total = sum(n * c for n, c in counts.items())
+        budget = r.randint(0, total)
+        take = mixing.fitted(counts, budget)
+        assert all(0 <= c <= counts[n] for n, c in take.items())
+        got = sum(n * c for n, c in take.items())
+        best = max(s for s in (sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*(range(c + 1) for c in counts.values()))) if s <= budget)
+        assert got <= best and budget - got <= max(counts)
+
+
+def test_scores_are_brute_force_counts():
+    rng = np.random.default_rng(1)
+    corpus = rng.integers(1, 4, 200).astype(np.uint64)
+    corpus[::37] = 0
+    query = rng.integers(1, 5, 12).astype(np.uint64)
+    got = {(s, d): c for s, d, c in zip(*(x.tolist() for x in infinigram.substring_counts(corpus, query, np.full(12, 12))))}
+    for s in range(12):
+        for d in range(1, 12 - s + 1):
+            n = sum((corpus[k : k + d] == query[s : s + d]).all() for k in range(200 - d + 1))
+            assert got.get((s, d), 0) == n
+
+
+def test_every_operator_takes_odd_and_empty_tables(spark, docs, labels, none):
+    nothing = spark.createDataFrame([], LABELS)
+    for d, known in ((docs, labels), (docs, nothing), (none, nothing)):
+        n = d.count()
+        assert quality.quality_report(d, known).count() == n
+        assert toxicity.toxicity(d, known).count() == n
+        assert langid.languages(d).count() == n
+        assert importance.resampled(d, known).count() == n
+        assert mixing.mixed(d).columns == d.columns
+        assert near.one_of_each(d).columns == d.columns
+        assert lines.deduplicated(d).columns == d.columns
+        assert secrets.findings(d).count() == (1 if n else 0)
+        items = d.select("doc_id", "text").withColumnRenamed("doc_id", "item_id")
+        assert infinigram.scores(items, d).count() == n
