@@ -79,6 +79,24 @@ def test_line_dedup_removes_the_later_passage(docs):
     assert out[4] is None and out[5] == "" and out[6] == text(6, 3000)
 
 
+def prose(seed: int, sizes: list[int]) -> str:
+    """Lines of so many words."""
+    r = random.Random(seed)
+    return "".join(" ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(n)) + "\n" for n in sizes)
+
+
+def test_line_dedup_finds_every_passage_of_over_50_words(spark):
+    rows, passages, r = [], {}, random.Random(11)
+    for n_words in range(51, 61):
+        for n_lines in range(1, 6):
+            cuts = sorted(r.sample(range(1, n_words), n_lines - 1))
+            k = len(passages)
+            passages[k] = prose(1000 + k, [b - a for a, b in zip([0, *cuts], [*cuts, n_words])])
+            rows += [(2 * k, prose(2000 + k, [9, 30, 4]) + passages[k] + prose(3000 + k, [3, 40])), (2 * k + 1, prose(4000 + k, [12, 2]) + passages[k] + prose(5000 + k, [20, 8, 8]))]
+    found = {x.doc_id for x in lines.run_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {2 * k + 1 for k in passages}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(text(6, 3000).split()[100:120]), 0), (2, None, 0), (None, "x", 0), (3, "a b", 0)], "item_id bigint, text string, n_chars int")
     want = [(6, 1, 100, 119)]

@@ -2,14 +2,15 @@
 
 A text is cut into lines: at newlines, and within those at sentence ends, so that a passage pasted into a paragraph is lines too. A
 line's hash is that of its words (case and punctuation don't count); lines without words are no lines. At each line a gram begins: the
-fewest lines from there on that have GRAM_WORDS words together. Of every WINDOW grams that follow each other the one with the
-smallest hash (the last of equal ones) is a fingerprint, so that a repeated run of WINDOW grams always shares one, wherever it stands.
+fewest lines from there on that have GRAM_WORDS words together. At each line a window begins too: the fewest lines that have WINDOW_WORDS
+words. Of the grams within a window the one with the smallest hash (the last of equal ones) is a fingerprint. It depends on the window's lines
+only, so that a repeated run of WINDOW_WORDS words or more always shares one, wherever it stands and however long its lines are.
 
 Fingerprints are joined by position: each occurrence with the first one in the order of (doc_id, position), nulls first. A match is extended
-both ways line by line while the lines are equal, at most WINDOW - 1 lines each way: further on, the guarantee gives the run another fingerprint.
+both ways line by line while the lines are equal, at most _CONTEXT lines each way: further on, the guarantee gives the run another fingerprint.
 What is covered is deleted from the later place; a run's first occurrence stays. Each fingerprint is one row of a shuffle, whatever the number of its copies; no pairs are built.
 
-Defined cases: null and empty texts have no lines and stay; a document of fewer than WINDOW grams has one window of them all; one of fewer than GRAM_WORDS words has no gram and stays;
+Defined cases: null and empty texts have no lines and stay; a document of fewer than WINDOW_WORDS words has one window of all its grams; one of fewer than GRAM_WORDS words has no gram and stays;
 rows with equal doc_id and text are one document and are cut alike, as are rows without doc_id and equal text; rows with equal doc_id but different text are
 different documents; within a document a match that overlaps the first occurrence is not cut. A document of which all lines go becomes empty and, as a stage, is dropped. Extra columns stay and take no part.
 """
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from .common import WORD, as_signed, mix, pieces, row_ids, word_codes
 
 GRAM_WORDS = 25
-WINDOW = 4
+#: The least words of a repeated run that must be found: over 50.
+WINDOW_WORDS = 51
 #: A line ends after a newline, or after closing punctuation and the white space behind it.
 END = r"\n+|\x1e|(?<=[.!?])[ \t]+"
 _CUT = regex.compile(END)
-_CONTEXT = WINDOW - 1
+_CONTEXT = 3
 SCHEMA = "fp bigint, doc_id bigint, doc bigint, at int, lines int, words int, before binary, after binary"
 
 
@@ -63,7 +65,12 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[some], count[some], rows[some]
 
 
-def fingerprints(hashes: np.ndarray, count: np.ndarray, rows: np.ndarray, n_rows: int, gram_words: int = GRAM_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pick(gram: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of grams x and y (indices, x not after y) that with the smaller hash, y of equal ones."""
+    return np.where(gram[y] <= gram[x], y, x)
+
+
+def fingerprints(hashes: np.ndarray, count: np.ndarray, rows: np.ndarray, n_rows: int, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the selected grams of all rows: hash, first line (index into hashes), end line, and words."""
     n = len(hashes)
     at = np.searchsorted(rows, np.arange(n_rows + 1))
@@ -80,18 +87,21 @@ def fingerprints(hashes: np.ndarray, count: np.ndarray, rows: np.ndarray, n_rows
     for k in range(int((end - first).max())):
         inside = first + k < end
         gram[inside] = mix(gram[inside] * np.uint64(0x9E3779B97F4A7C15) + powered[first[inside] + k])
-    # windows of `window` grams of one row; a row of fewer grams has one window
-    begin = np.searchsorted(of, of)
-    stop = np.searchsorted(of, of, side="right")
-    low, arg = gram.copy(), np.arange(len(gram))
-    opens = (np.arange(len(gram)) + window <= stop) | (np.arange(len(gram)) == begin)
-    for k in range(1, window):
-        j = np.arange(len(gram)) + k
-        inside = j < stop
-        other = gram[np.minimum(j, len(gram) - 1)]
-        take = inside & (other <= low)
-        low[take], arg[take] = other[take], j[take]
-    chosen = np.unique(arg[opens])
+    # the grams of a row stand together: those within the window that opens with one are the ones up to stop; a row without a whole window has one of all
+    shut = np.searchsorted(words, words[first] + window_words)
+    whole = shut <= at[of + 1]
+    head = np.arange(len(gram)) == np.searchsorted(of, of)
+    opens = np.flatnonzero(whole | head)
+    stop = np.searchsorted(end, np.where(whole, shut, at[of + 1])[opens], side="right")
+    # the smallest of each 2^k grams that follow each other, then of each window by two of those
+    best, level = np.arange(len(gram)), np.frexp(stop - opens)[1] - 1
+    chosen = []
+    for k in range(int(level.max()) + 1):
+        here = level == k
+        chosen.append(_pick(gram, best[opens[here]], best[stop[here] - (1 << k)]))
+        if len(best) > 1 << k:
+            best = _pick(gram, best[: -(1 << k)], best[1 << k :])
+    chosen = np.unique(np.concatenate(chosen))
     return gram[chosen], first[chosen], end[chosen], words[end[chosen]] - words[first[chosen]]
 
 
