@@ -97,6 +97,14 @@ def test_line_dedup_finds_every_passage_of_over_50_words(spark):
     assert found == {2 * k + 1 for k in passages}
 
 
+def test_line_dedup_extends_to_the_ends_of_a_run(spark):
+    # short lines on both sides of the only grams, and a first occurrence of the middle alone in another document
+    head, middle, tail = prose(1, [2] * 11), prose(2, [30, 30]), prose(3, [1] * 22)
+    rows = [(1, prose(4, [20]) + middle + prose(5, [20])), (2, prose(6, [7]) + head + middle + tail + prose(7, [9])), (3, prose(8, [40, 3]) + head + middle + tail + prose(9, [5])), (4, prose(10, [40]))]
+    got = {(r.doc_id, r.first_line, r.end_line) for r in lines.run_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(2, 12, 14), (3, 2, 2 + 11 + 2 + 22)}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(text(6, 3000).split()[100:120]), 0), (2, None, 0), (None, "x", 0), (3, "a b", 0)], "item_id bigint, text string, n_chars int")
     want = [(6, 1, 100, 119)]

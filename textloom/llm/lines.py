@@ -6,9 +6,10 @@ fewest lines from there on that have GRAM_WORDS words together. At each line a w
 words. Of the grams within a window the one with the smallest hash (the last of equal ones) is a fingerprint. It depends on the window's lines
 only, so that a repeated run of WINDOW_WORDS words or more always shares one, wherever it stands and however long its lines are.
 
-Fingerprints are joined by position: each occurrence with the first one in the order of (doc_id, position), nulls first. A match is extended
-both ways line by line while the lines are equal, at most _CONTEXT lines each way: further on, the guarantee gives the run another fingerprint.
-What is covered is deleted from the later place; a run's first occurrence stays. Each fingerprint is one row of a shuffle, whatever the number of its copies; no pairs are built.
+Fingerprints are joined by position, in the order of (doc_id, position), nulls first: a match is extended both ways line by line while the lines are
+those beside any earlier occurrence. Each fingerprint carries the hashes of the lines within WINDOW_WORDS words on either side; no run goes further
+without another fingerprint, since its windows choose grams less than that apart. What is covered is deleted from the later place; a run's first
+occurrence stays. Each fingerprint is one row of a shuffle, whatever the number of its copies; no pairs are built.
 
 Defined cases: null and empty texts have no lines and stay; a document of fewer than WINDOW_WORDS words has one window of all its grams; one of fewer than GRAM_WORDS words has no gram and stays;
 rows with equal doc_id and text are one document and are cut alike, as are rows without doc_id and equal text; rows with equal doc_id but different text are
@@ -17,7 +18,11 @@ different documents; within a document a match that overlaps the first occurrenc
 
 from __future__ import annotations
 
+import math
+import struct
+from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_signed, mix, pieces, row_ids, word_codes
+from .common import WORD, as_signed, mix, pieces, ranges, row_ids, word_codes
 
 GRAM_WORDS = 25
 #: The least words of a repeated run that must be found: over 50.
@@ -34,8 +39,7 @@ WINDOW_WORDS = 51
 #: A line ends after a newline, or after closing punctuation and the white space behind it.
 END = r"\n+|\x1e|(?<=[.!?])[ \t]+"
 _CUT = regex.compile(END)
-_CONTEXT = 3
-SCHEMA = "fp bigint, doc_id bigint, doc bigint, at int, lines int, words int, before binary, after binary"
+SCHEMA = "fp bigint, doc_id bigint, doc bigint, at int, lines int, before binary, after binary"
 
 
 def cut(text: str) -> list[str]:
@@ -105,46 +109,104 @@ def fingerprints(hashes: np.ndarray, count: np.ndarray, rows: np.ndarray, n_rows
     return gram[chosen], first[chosen], end[chosen], words[end[chosen]] - words[first[chosen]]
 
 
+def _side(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, outwards: int) -> pa.Array:
+    """The hashes of lines begin to end of each posting as bytes, from the match outwards."""
+    size = end - begin
+    at = ranges(begin, size) if outwards > 0 else np.repeat(end - 1 + np.cumsum(size) - size, size) - np.arange(int(size.sum()))
+    offsets = (8 * np.concatenate([[0], np.cumsum(size)])).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashes[at].astype("<u8").tobytes())])
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         hashes, count, rows = line_hashes(b.column(1))
-        fp, first, end, n_words = fingerprints(hashes, count, rows, b.num_rows)
+        fp, first, end, _ = fingerprints(hashes, count, rows, b.num_rows)
         of = rows[first]
         at = np.searchsorted(rows, np.arange(b.num_rows + 1))
-        short = (hashes >> np.uint64(32)).astype(np.uint32)
-        padded = np.concatenate([np.zeros(_CONTEXT, np.uint32), short, np.zeros(_CONTEXT, np.uint32)])
-        # context lines beyond the text are numbered by side so that they equal nothing
-        before = np.stack([np.where(first - 1 - k >= at[of], padded[first - 1 - k + _CONTEXT], 0) for k in range(_CONTEXT)], 1).astype("<u4") if len(fp) else np.zeros((0, _CONTEXT), "<u4")
-        after = np.stack([np.where(end + k < at[of + 1], padded[end + k + _CONTEXT], 0) for k in range(_CONTEXT)], 1).astype("<u4") if len(fp) else np.zeros((0, _CONTEXT), "<u4")
-        binary = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _CONTEXT), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+        words = np.concatenate([[0], np.cumsum(count)])
+        # lines on either side that begin (or end) less than WINDOW_WORDS words from the match: what a run can have beyond its last fingerprint, and the line that ends it
+        low = np.maximum(np.searchsorted(words, words[first] - WINDOW_WORDS, side="right") - 1, at[of])
+        high = np.minimum(np.searchsorted(words, words[end] + WINDOW_WORDS), at[of + 1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(as_signed(fp)), b.column(0).take(pa.array(of)), b.column(2).take(pa.array(of)), pa.array((first - at[of]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(n_words.astype(np.int32)), binary(before), binary(after)],
-            names=["fp", "doc_id", "doc", "at", "lines", "words", "before", "after"],
+            [pa.array(as_signed(fp)), b.column(0).take(pa.array(of)), b.column(2).take(pa.array(of)), pa.array((first - at[of]).astype(np.int32)), pa.array((end - first).astype(np.int32)), _side(hashes, low, first, -1), _side(hashes, end, high, 1)],
+            names=["fp", "doc_id", "doc", "at", "lines", "before", "after"],
         )
 
 
-def _equal_lines(side: str) -> F.Column:
-    """How many context lines of both occurrences are equal, from the match outwards."""
-    same = [(F.substring(F.hex(f"{side}"), 8 * k + 1, 8) == F.substring(F.hex(f"first.{side}"), 8 * k + 1, 8)) & (F.substring(F.hex(f"{side}"), 8 * k + 1, 8) != "00000000") for k in range(_CONTEXT)]
-    out = F.lit(0)
-    for k in reversed(range(_CONTEXT)):
-        out = F.when(same[k], 1 + out).otherwise(0)
-    return out
+class _Seen:
+    """The occurrences of one fingerprint so far, in order: how far the lines beside a new one are those beside any of them."""
+
+    def __init__(self) -> None:
+        self.source: int | None = None
+        self.doc: int | None = None
+        self.at = -1
+        #: By side, hashes of the lines from the match outwards, of one line, two and so on: those of earlier documents, and of this one with the least end of a match that has them.
+        self.others: tuple[set[int], set[int]] = (set(), set())
+        self.own: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        self.waiting: deque[tuple[int, list[int], list[int]]] = deque()
+        self.any = False
+
+    def _own(self, before_line: float) -> None:
+        while self.waiting and self.waiting[0][0] <= before_line:
+            end, *sides = self.waiting.popleft()
+            for own, keys in zip(self.own, sides):
+                for k in keys:
+                    own.setdefault(k, end)
+
+    def add(self, doc_id: int | None, doc: int, at: int, lines: int, before: bytes, after: bytes) -> tuple[int, int] | None:
+        """first_line and end_line of what is deleted, if there is an earlier occurrence that doesn't overlap."""
+        sides = [list(accumulate(struct.unpack(f"<{len(x) // 8}q", x), lambda h, y: hash((h, y)), initial=0)) for x in (before, after)]
+        if doc != self.doc:
+            if self.doc is None:
+                self.source = doc_id
+            else:
+                self._own(math.inf)
+                self.any = True
+                for others, own in zip(self.others, self.own):
+                    others.update(own)
+                    own.clear()
+            self.doc = doc
+        elif at == self.at:
+            return None
+        self.at = at
+        self._own(at)
+        found = None
+        if self.any or self.own[0]:
+            reach = []
+            for k, (others, own, keys) in enumerate(zip(self.others, self.own, sides)):
+                n = 0
+                while n + 1 < len(keys) and (keys[n + 1] in others or (keys[n + 1] in own and (k == 1 or at - n - 1 >= own[keys[n + 1]]))):
+                    n += 1
+                reach.append(n)
+            found = at - reach[0], at + lines + reach[1]
+        self.waiting.append((at + lines, *sides))
+        return found
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings in the order of fp and place: each that has an earlier one."""
+    last, seen = None, _Seen()
+    for b in batches:
+        fp = b.column(0).to_numpy()
+        if not len(fp):
+            continue
+        # a posting alone with its fingerprint needs no look; the batch's last may go on in the next
+        same = fp[1:] == fp[:-1]
+        look = np.concatenate([[fp[0] == last], same]) | np.concatenate([same, [True]])
+        out: list[tuple] = []
+        for f, *posting in zip(*(c.to_pylist() for c in b.filter(pa.array(look)).columns)):
+            if f != last:
+                last, seen = f, _Seen()
+            if found := seen.add(*posting):
+                out.append((posting[0], posting[1], *found, seen.source))
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "doc", "first_line", "end_line", "source_doc_id"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, doc (hash of id and text), first_line, end_line, source_doc_id: each match of a fingerprint with its first occurrence, extended."""
+    """doc_id, doc (hash of id and text), first_line, end_line, source_doc_id (of the fingerprint's first occurrence): each match of a fingerprint with the earlier ones, extended."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
     posts = plain.mapInArrow(_postings, SCHEMA)
-    first = posts.groupBy("fp").agg(F.min(F.struct("doc_id", "doc", "at", "lines", "before", "after")).alias("first"), F.count("*").alias("n"))
-    later = posts.join(first.where("n > 1").drop("n"), "fp").where("doc != first.doc or at >= first.at + first.lines")
-    begins = F.col("at") - _equal_lines("before")
-    return later.select(
-        "doc_id", "doc",
-        F.when(F.col("doc") == F.col("first.doc"), F.greatest(begins, F.col("first.at") + F.col("first.lines"))).otherwise(begins).alias("first_line"),
-        (F.col("at") + F.col("lines") + _equal_lines("after")).alias("end_line"),
-        F.col("first.doc_id").alias("source_doc_id"),
-    )
+    return posts.repartition("fp").sortWithinPartitions("fp", "doc_id", "doc", "at").mapInArrow(_matched, "doc_id bigint, doc bigint, first_line int, end_line int, source_doc_id bigint")
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
