@@ -1,7 +1,9 @@
 """Small fixtures: nulls, empty and long texts, repeats, empty tables and clashing columns, and brute force where SQL can't say it."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -105,6 +107,19 @@ def test_line_dedup_extends_to_the_ends_of_a_run(spark):
     assert got == {(2, 12, 14), (3, 2, 2 + 11 + 2 + 22)}
 
 
+def test_binomial_cdf_sums_all_terms():
+    assert quality._log_binomial_cdf(3_000, 10_000, 0.03) == pytest.approx(0, abs=1e-12)
+    for n, p in ((1, 0.03), (50, 0.03), (400, 0.3), (3_000, 0.9)):
+        terms = [math.comb(n, j) * Fraction(p) ** j * (1 - Fraction(p)) ** (n - j) for j in range(n + 1)] if n < 1_000 else None
+        for k in {0, 1, n // 50, n // 3, n - 1, n}:
+            want = math.log(sum(terms[: k + 1])) if terms else None
+            got = quality._log_binomial_cdf(k, n, p)
+            assert got <= 0 and (want is None or got == pytest.approx(want, rel=1e-9, abs=1e-15))
+    # an independent sum of every term
+    logs = [math.lgamma(10_001) - math.lgamma(j + 1) - math.lgamma(10_001 - j) + j * math.log(0.5) + (10_000 - j) * math.log(0.5) for j in range(4_901)]
+    assert quality._log_binomial_cdf(4_900, 10_000, 0.5) == pytest.approx(max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs)), rel=1e-9)
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(text(6, 3000).split()[100:120]), 0), (2, None, 0), (None, "x", 0), (3, "a b", 0)], "item_id bigint, text string, n_chars int")
     want = [(6, 1, 100, 119)]

@@ -65,10 +65,20 @@ def levels(df: DataFrame, text_col: str, stratum_col: str) -> DataFrame:
 
 
 def _log_binomial_cdf(k: int, n: int, p: float) -> float:
-    """log P(Bin(n, p) <= k), exactly, from the largest term down."""
-    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k, max(-1, k - 2000), -1)]
-    top = max(logs)
-    return min(0.0, top + math.log(math.fsum(math.exp(x - top) for x in logs)))
+    """log P(Bin(n, p) <= k), exactly: the tail that doesn't hold the mean is summed outwards until its terms no longer count."""
+    upper = k >= n * p
+    j = k + 1 if upper else k
+    if j > n:
+        return 0.0
+    first = math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    # terms as multiples of the first; outwards from the mean they only fall
+    terms, term = [], 1.0
+    while 0 <= j <= n and term > 1e-18:
+        terms.append(term)
+        term *= (n - j) * p / ((j + 1) * (1 - p)) if upper else j * (1 - p) / ((n - j + 1) * p)
+        j += 1 if upper else -1
+    log = min(0.0, first + math.log(math.fsum(terms)))
+    return math.log1p(-math.exp(log)) if upper else log
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
