@@ -2,8 +2,8 @@
 
 The corpus is cut into shards of about SHARD_WORDS words as it is scanned; each task builds the suffix array of its shards over word numbers (prefix doubling, up to the
 longest query: no match can be longer). Queries are broadcast by block. From every query position a binary search narrows the shard's
-suffix interval word by word until nothing is left, so a shard returns the counts of exactly those query substrings that it has. Their sums over shards are exact
-corpus counts c(.). The longest context of a word w that the corpus has, whatever its length, gives
+suffix interval word by word until nothing is left, so a shard returns the lengths at which each start's count changes (count_steps). Their sums over shards are exact
+corpus counts c(.). As an operator every document is a query, scored against all the others: its own occurrences are subtracted. The longest context of a word w that the corpus has, whatever its length, gives
 
     P_L(w),   P_k(w) = (c(context_k w) + MU * P_(k-1)(w)) / (c(context_k) + MU),   P_0(w) = (c(w) + MU / V) / (N + MU)
 
@@ -54,11 +54,10 @@ def suffix_array(x: np.ndarray, most: int) -> np.ndarray:
         h *= 2
 
 
-def substring_counts(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, count) of every query substring that occurs in the corpus. corpus: word hashes, 0 between documents. query_end[i]: where the query of position i ends."""
-    none = np.zeros(0, np.int64)
+def _by_length(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For each length: the starts of the query substrings of it that occur in the corpus, the length, and their counts."""
     if not len(queries) or not len(corpus):
-        return none, none, none
+        return
     vocabulary = np.unique(corpus)
     x = np.searchsorted(vocabulary, corpus)
     at = np.minimum(np.searchsorted(vocabulary, queries), len(vocabulary) - 1)
@@ -68,7 +67,6 @@ def substring_counts(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndar
     padded = np.concatenate([x, np.full(int(reach.max()) + 1, -2)])
     start = np.flatnonzero(q >= 0)
     low, high = np.zeros(len(start), np.int64), np.full(len(start), len(x), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     depth = 0
     while len(start):
         want = q[start + depth]
@@ -86,12 +84,44 @@ def substring_counts(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndar
         live = high > low
         start, low, high = start[live], low[live], high[live]
         depth += 1
-        found.append((start, np.full(len(start), depth), high - low))
+        yield start, depth, high - low
         more = reach[start] > depth
         start, low, high = start[more], low[more], high[more]
         known = q[start + depth] >= 0
         start, low, high = start[known], low[known], high[known]
-    return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
+
+
+def substring_counts(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, count) of every query substring that occurs in the corpus. corpus: word hashes, 0 between documents. query_end[i]: where the query of position i ends."""
+    found = [(s, np.full(len(s), d), c) for s, d, c in _by_length(corpus, queries, query_end)]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)  # type: ignore[return-value]
+
+
+def count_steps(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, change): where a start's count changes as its substring gets a word longer, down to 0 behind the longest. A text that stands
+    in the corpus has a few of these for each word, not one for each length. Steps of several corpora add up."""
+    held, found = np.zeros(len(queries), np.int64), []
+    before = np.zeros(0, np.int64)
+    depth = 0
+    for start, depth, count in _by_length(corpus, queries, query_end):
+        now = np.zeros(len(before), np.int64)
+        if depth == 1:
+            before, now = start, count
+        else:
+            at = np.searchsorted(before, start)
+            now[at] = count
+        step = now - held[before]
+        some = step != 0
+        found.append((before[some], np.full(int(some.sum()), depth), step[some]))
+        held[before] = now
+        before = start
+    if len(before):
+        found.append((before, np.full(len(before), depth + 1), -held[before]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)  # type: ignore[return-value]
+
+
 
 
 def _gathered(queries):
@@ -101,7 +131,7 @@ def _gathered(queries):
         held = total = 0
 
         def counted() -> pa.RecordBatch:
-            s, d, c = substring_counts(np.concatenate(parts), codes, ends)
+            s, d, c = count_steps(np.concatenate(parts), codes, ends)
             return pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(c.astype(np.int64))], names=["start", "length", "n"])
 
         for b in batches:
@@ -122,24 +152,39 @@ def _gathered(queries):
     return run
 
 
-def probabilities(n: int, counts: dict[tuple[int, int], int], total: int, mu: float = MU) -> list[tuple[float, int, int]]:
-    """For each of a query's n words: probability, words of the longest context, count of that context. counts: (start, length) -> corpus count."""
-    out = []
-    for i in range(n):
-        p = (counts.get((i, 1), 0) + mu / (total + 1)) / (total + mu)
-        k = 0
-        while k < i and (c := counts.get((i - k - 1, k + 1), 0)):
-            k += 1
-            p = (counts.get((i - k, k + 1), 0) + mu * p) / (c + mu)
-        out.append((p, k, counts.get((i - k, k), 0) if k else total))
-    return out
+def probabilities(n: int, steps: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of a query's n words: probability, words of the longest context, and whether the corpus has the word. steps: as of count_steps(), of all the corpus."""
+    key, where = np.unique(steps[0] * (n + 2) + steps[1], return_inverse=True)
+    held = np.cumsum(np.bincount(where, steps[2], len(key)).astype(np.int64))  # 0 again behind each start's longest substring
+
+    def count(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(key, start * (n + 2) + length, side="right") - 1
+        return np.where(at >= 0, held[at], 0) if len(key) else np.zeros(len(start), np.int64)
+
+    i = np.arange(n)
+    end = i.copy()
+    alive = np.flatnonzero(held > 0)
+    # a start's count is more than 0 up to its next step; its last step leads to 0
+    np.maximum.at(end, key[alive] // (n + 2), key[alive] // (n + 2) + key[alive + 1] % (n + 2) - 1)
+    longest = i - np.searchsorted(end, i)
+    one = np.ones(n, np.int64)
+    p = (count(i, one) + mu / (total + 1)) / (total + mu)
+    # each longer context leaves the shorter ones mu / (count + mu) of their weight, so those under the last `most` are below a double's precision
+    most = math.ceil(60 * math.log(2) / math.log1p(1 / mu)) if mu > 0 else 1
+    k = np.maximum(longest - most, 0)
+    while (more := np.flatnonzero(k < longest)).size:
+        k[more] += 1
+        j = more - k[more]
+        p[more] = (count(j, k[more] + 1) + mu * p[more]) / (count(j, k[more]) + mu)
+    return p, longest, count(i, one) > 0
 
 
 SCORES = "__row bigint, n_words int, log_prob double, perplexity double, mean_context double, longest_context int, unseen int"
 
 
-def scores(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text: str = "text", mu: float = MU) -> DataFrame:
-    """id_col, n_words, log_prob (natural, of the whole text), perplexity, mean_context and longest_context (words of the longest contexts found), unseen (words that the corpus lacks): a row for each row of queries."""
+def scores(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text: str = "text", mu: float = MU, leave_out: bool = False) -> DataFrame:
+    """leave_out: the queries are rows of the corpus, and each is scored against the others.
+    id_col, n_words, log_prob (natural, of the whole text), perplexity, mean_context and longest_context (words of the longest contexts found), unseen (words that the corpus lacks): a row for each row of queries."""
     spark = queries.sparkSession
     rows = checkpointed(queries.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).withColumn("__row", F.monotonically_increasing_id()))
 
@@ -162,19 +207,26 @@ def scores(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_
         counts = checkpointed(counts)
         total = counts.where("start = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         places = spark.createDataFrame(pd.DataFrame({"query": np.repeat(np.arange(len(block)), np.diff(at)), "start": np.arange(len(flat)), "offset": np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))}), "query int, start int, offset int")
-        lengths = spark.createDataFrame(pd.DataFrame({"query": range(len(block)), "__row": [r["__row"] for r in block], "n_words": np.diff(at)}), "query int, __row bigint, n_words int")
+        lengths = spark.createDataFrame(pd.DataFrame({"query": range(len(block)), "__row": [r["__row"] for r in block]}), "query int, __row bigint").join(coded, "__row")
         per = counts.join(sized(places, len(flat)), "start").groupBy("query").agg(F.collect_list(F.struct("offset", "length", "n")).alias("counts"))
 
         def scored(batches: Iterator[pa.RecordBatch], total: int = total) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for row, n, cs in zip(*(c.to_pylist() for c in b.columns)):
-                    p = probabilities(n, {(c["offset"], c["length"]): c["n"] for c in cs or []}, total, mu)
-                    log = math.fsum(math.log(x) for x, _, _ in p) if n else None
-                    seen = {c["offset"] for c in cs or []}
-                    out.append({"__row": row, "n_words": n, "log_prob": log, "perplexity": math.exp(-log / n) if n else None, "mean_context": sum(k for _, k, _ in p) / n if n else None, "longest_context": max(k for _, k, _ in p) if n else None, "unseen": n - len(seen)})
+                for row, text, steps in zip(*b.columns):
+                    own = np.frombuffer(text.as_py(), np.uint64)
+                    n, rest = len(own), total
+                    flat = steps.values.flatten() if steps.is_valid else [pa.array([], pa.int64())] * 3
+                    changes = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in flat)
+                    if leave_out and n:
+                        mine = count_steps(own, own, np.full(n, n))
+                        changes = (np.concatenate([changes[0], mine[0]]), np.concatenate([changes[1], mine[1]]), np.concatenate([changes[2], -mine[2]]))
+                        rest -= n
+                    p, context, seen = probabilities(n, changes, rest, mu)
+                    log = math.fsum(np.log(p)) if n else None
+                    out.append({"__row": row.as_py(), "n_words": n, "log_prob": log, "perplexity": math.exp(-log / n) if n else None, "mean_context": float(context.sum()) / n if n else None, "longest_context": int(context.max()) if n else None, "unseen": n - int(seen.sum())})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("__row", pa.int64()), ("n_words", pa.int32()), ("log_prob", pa.float64()), ("perplexity", pa.float64()), ("mean_context", pa.float64()), ("longest_context", pa.int32()), ("unseen", pa.int32())]))
 
-        part = lengths.join(per, "query", "left").select("__row", "n_words", "counts").mapInArrow(scored, SCORES)
+        part = lengths.join(per, "query", "left").select("__row", "codes", "counts").mapInArrow(scored, SCORES)
         done = part if done is None else done.unionByName(part)
     return rows.drop("__text").join(done, "__row").drop("__row")

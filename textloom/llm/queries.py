@@ -21,7 +21,8 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infinigram.scores(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return infinigram.scores(docs, docs, id_col="doc_id", leave_out=True)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
