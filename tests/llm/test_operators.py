@@ -130,6 +130,14 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.spans(none, bench).count() == 0
 
 
+def test_decontamination_joins_what_is_too_much_to_broadcast(spark, docs):
+    bench = spark.createDataFrame([(1, " ".join(text(6, 3000).split()[100:120])), (2, text(9))], "item_id bigint, text string")
+    key = lambda r: (r.doc_id or 0, r.text or "")
+    want, got = (sorted(decontaminate.decontaminated(docs, bench, most=m).collect(), key=key) for m in (1_000, 1))
+    assert got == want and len(got) == docs.count() - 1
+    assert len(words(next(r.text for r in got if r.doc_id == 6))) == 2980
+
+
 def test_fitted_takes_the_most_that_fits():
     r = random.Random(5)
     for _ in range(30):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORDS_SQL, pieces, rolled, row_ids, word_codes, words
+from .common import WORD, WORDS_SQL, checkpointed, pieces, rolled, row_ids, word_codes, words
 
 N = 8
 LEAST = 5
@@ -114,7 +114,13 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _joined_spans(plain: DataFrame, grams: DataFrame) -> DataFrame:
-    """As spans(), for item sets too large to broadcast: the words' windows are joined with the grams themselves, so nothing is left to verify."""
+    """As spans(), by _row_spans()."""
+    numbered = plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _row_spans(numbered, grams).select("doc_id", "doc_words", F.explode("spans").alias("s")).select("doc_id", "s.*", "doc_words")
+
+
+def _row_spans(numbered: DataFrame, grams: DataFrame) -> DataFrame:
+    """row, doc_id, doc_words, spans of the rows that have any, from row, doc_id and text, for item sets too large to broadcast: the words' windows are joined with the grams themselves, so nothing is left to verify."""
     lengths = [r.n_words for r in grams.select("n_words").distinct().collect()]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +130,10 @@ def _joined_spans(plain: DataFrame, grams: DataFrame) -> DataFrame:
                 at = [(k, " ".join(w[k : k + n])) for n in lengths for k in range(len(w) - n + 1)]
                 yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(at), pa.int64()), "doc_id": pa.array([doc] * len(at), pa.int64()), "doc_words": pa.array([len(w)] * len(at), pa.int32()), "first": pa.array([k for k, _ in at], pa.int32()), "gram": pa.array([g for _, g in at], pa.string())})
 
-    numbered = plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hits = numbered.mapInArrow(windows, "row bigint, doc_id bigint, doc_words int, first int, gram string").join(grams, "gram")
     merged = F.udf(lambda hs: [tuple(s.values()) for s in _merged([(h["first"], h["last"], h["item_id"]) for h in hs])], SPANS)
     grouped = hits.groupBy("row", "doc_id", "doc_words").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "item_id")).alias("hits"))
-    return grouped.select("doc_id", "doc_words", F.explode(merged("hits")).alias("s")).select("doc_id", "s.*", "doc_words")
+    return grouped.select("row", "doc_id", "doc_words", merged("hits").alias("spans"))
 
 
 def cut_words(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -141,40 +146,57 @@ def cut_words(text: str, cuts: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[here:]])
 
 
+def _cleaned(b: pa.RecordBatch, hits: Iterator[tuple[int, list[dict], int]], text_col: str, drop_share: float) -> pa.RecordBatch:
+    """b without the rows that go, and with the spans of the others cut out. hits: row, its spans, its words."""
+    names = b.schema.names
+    at = names.index(text_col)
+    keep, new = np.ones(b.num_rows, bool), {}
+    for i, hit, count in hits:
+        if sum(s["last_word"] - s["first_word"] + 1 for s in hit) >= drop_share * count:
+            keep[i] = False
+        else:
+            new[i] = cut_words(b.column(at)[i].as_py(), [(s["first_word"], s["last_word"]) for s in hit])
+    columns = list(b.columns)
+    if new:
+        texts = columns[at].to_pylist()
+        for i, t in new.items():
+            texts[i] = t
+        columns[at] = pa.array(texts, b.schema.field(at).type)
+        if "n_chars" in names:
+            k = names.index("n_chars")
+            sizes = columns[k].to_pylist()
+            for i, t in new.items():
+                sizes[i] = len(t)
+            columns[k] = pa.array(sizes, b.schema.field(k).type)
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = N, least: int = LEAST, drop_share: float = DROP_SHARE, most: int = BROADCAST_GRAMS) -> DataFrame:
-    """docs, one scan and no shuffle: rows with drop_share of their words in spans are gone, the spans of the others are cut out. Other columns stay,
-    n_chars follows the text. The items must fit a broadcast; more than `most` n-grams raise a ValueError: split the benchmark then and apply it in turn."""
-    rows = item_grams(benchmark, n, least).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} benchmark n-grams")
+    """docs: rows with drop_share of their words in spans are gone, the spans of the others are cut out. Other columns stay, n_chars follows the text.
+    One scan and no shuffle for up to `most` n-grams; beyond that the spans are joined, and joined back to the rows."""
+    grams = item_grams(benchmark, n, least)
+    rows = grams.limit(most + 1).collect()
     if not rows:
         return docs
+    if len(rows) > most:
+        # the numbers must be the same on both sides of the join
+        numbered = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
+        hit = _row_spans(numbered.select(F.col("__row").alias("row"), F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), grams)
+        joined = numbered.join(hit.select(F.col("row").alias("__row"), F.col("doc_words").alias("__words"), F.col("spans").alias("__spans")), "__row", "left")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                spans, count = b.column(b.num_columns - 1), b.column(b.num_columns - 2)
+                hits = ((int(i), spans[int(i)].as_py(), count[int(i)].as_py()) for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)))
+                yield _cleaned(b.select(range(b.num_columns - 2)), hits, text_col, drop_share)
+
+        return joined.select(*docs.columns, "__words", "__spans").mapInArrow(cut, docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast({r.gram: r.item_id for r in rows})
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared.value)
         for b in pieces(batches):
-            names = b.schema.names
-            at = names.index(text_col)
-            keep, new = np.ones(b.num_rows, bool), {}
-            for i, hit, count in scan(b.column(at)):
-                if sum(s["last_word"] - s["first_word"] + 1 for s in hit) >= drop_share * count:
-                    keep[i] = False
-                else:
-                    new[i] = cut_words(b.column(at)[i].as_py(), [(s["first_word"], s["last_word"]) for s in hit])
-            columns = list(b.columns)
-            if new:
-                texts = columns[at].to_pylist()
-                for i, t in new.items():
-                    texts[i] = t
-                columns[at] = pa.array(texts, b.schema.field(at).type)
-                if "n_chars" in names:
-                    k = names.index("n_chars")
-                    sizes = columns[k].to_pylist()
-                    for i, t in new.items():
-                        sizes[i] = len(t)
-                    columns[k] = pa.array(sizes, b.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+            yield _cleaned(b, scan(b.column(b.schema.names.index(text_col))), text_col, drop_share)
 
     return docs.mapInArrow(cleaned, docs.schema)
 
