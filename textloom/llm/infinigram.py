@@ -70,17 +70,22 @@ def _by_length(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -
     depth = 0
     while len(start):
         want = q[start + depth]
-        bounds = []
-        for side in (0, 1):  # the first suffix whose word at this depth isn't below want, then the first above it
-            a, b = low.copy(), high.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) >> 1
-                here = padded[suffixes[np.minimum(mid, len(x) - 1)] + depth]
-                up = open_ & ((here < want) if side == 0 else (here <= want))
-                b = np.where(open_ & ~up, mid, b)
-                a = np.where(up, mid + 1, a)
-            bounds.append(a)
-        low, high = bounds
+        # a suffix alone in its interval, as behind the first words of a long repeat, needs no search
+        alone = high - low == 1
+        high[alone] = low[alone] + (padded[suffixes[low[alone]] + depth] == want[alone])
+        several = np.flatnonzero(~alone)
+        if len(several):
+            sought, bounds = want[several], []
+            for side in (0, 1):  # the first suffix whose word at this depth isn't below want, then the first above it
+                a, b = low[several], high[several]
+                while (open_ := a < b).any():
+                    mid = (a + b) >> 1
+                    here = padded[suffixes[np.minimum(mid, len(x) - 1)] + depth]
+                    up = open_ & ((here < sought) if side == 0 else (here <= sought))
+                    b = np.where(open_ & ~up, mid, b)
+                    a = np.where(up, mid + 1, a)
+                bounds.append(a)
+            low[several], high[several] = bounds
         live = high > low
         start, low, high = start[live], low[live], high[live]
         depth += 1
