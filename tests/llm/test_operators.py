@@ -151,49 +151,6 @@ def test_fitted_takes_the_most_that_fits():
         assert got <= best and budget - got <= max(counts)
 
 
-def test_scores_are_brute_force_counts():
-    rng = np.random.default_rng(1)
-    corpus = rng.integers(1, 4, 200).astype(np.uint64)
-    corpus[::37] = 0
-    query = rng.integers(1, 5, 12).astype(np.uint64)
-    got = {(s, d): c for s, d, c in zip(*(x.tolist() for x in infinigram.substring_counts(corpus, query, np.full(12, 12))))}
-    for s in range(12):
-        for d in range(1, 12 - s + 1):
-            n = sum((corpus[k : k + d] == query[s : s + d]).all() for k in range(200 - d + 1))
-            assert got.get((s, d), 0) == n
-
-
-def test_documents_are_scored_against_the_others(spark, monkeypatch):
-    monkeypatch.setattr(infinigram, "SHARD_WORDS", 150)
-    monkeypatch.setattr(infinigram, "BLOCK_WORDS", 200)
-    r = random.Random(4)
-    texts = [" ".join(r.choices("abcd", k=r.randint(1, 40))) for _ in range(14)]
-    texts += [texts[3], texts[5] + " " + texts[5], "", None, "only", " ".join(r.choices("abcdefgh", k=150))]
-    texts.append(texts[-1])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {x.doc_id: x for x in infinigram.scores(docs, docs, id_col="doc_id", leave_out=True).collect()}
-    assert len(got) == len(texts)
-    for d, q in enumerate(map(words, texts)):
-        counts, total = {}, 0
-        for e, w in enumerate(map(words, texts)):
-            if e != d:
-                total += len(w)
-                for x in range(len(w)):
-                    for y in range(x + 1, len(w) + 1):
-                        counts[tuple(w[x:y])] = counts.get(tuple(w[x:y]), 0) + 1
-        log, contexts = 0.0, []
-        for i, w in enumerate(q):
-            p, k = (counts.get((w,), 0) + 1 / (total + 1)) / (total + 1), 0
-            while k < i and (c := counts.get(tuple(q[i - k - 1 : i]), 0)):
-                k += 1
-                p = (counts.get(tuple(q[i - k : i + 1]), 0) + p) / (c + 1)
-            log += math.log(p)
-            contexts.append(k)
-        assert got[d].n_words == len(q) and got[d].log_prob == (pytest.approx(log, rel=1e-9) if q else None)
-        assert got[d].longest_context == (max(contexts) if q else None) and (not q or got[d].mean_context == pytest.approx(sum(contexts) / len(q)))
-        assert got[d].unseen == sum((w,) not in counts for w in q)
-
-
 def test_every_operator_takes_odd_and_empty_tables(spark, docs, labels, none):
     nothing = spark.createDataFrame([], LABELS)
     for d, known in ((docs, labels), (docs, nothing), (none, nothing)):

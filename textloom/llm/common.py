@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: The same in DuckDB.
 WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+')"
-#: Rows up to which one side of a join is broadcast; more are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which one side of a join is broadcast; more are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: What a broadcast row of a few numbers takes in a hash table, arrays and strings apart.
+ROW_BYTES = 48
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where unset (tests), a new local one is set."""
+    """The folder all executors share, from spark.checkpoint.dir; where unset, a new local one is set, which only a local master can share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -48,9 +53,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows are within limit, otherwise as it is."""
-    return F.broadcast(df) if rows <= limit else df
+def sized(df: DataFrame, rows: int, width: float = 0, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its counted rows, each with `width` bytes of arrays and strings, are within limit bytes, otherwise as it is."""
+    return F.broadcast(df) if rows * (ROW_BYTES + width) <= limit else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame | list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores behind it as no column of df (compared without case) has."""
+    taken, out = {c.lower() for c in (df if isinstance(df, list) else df.columns)}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

@@ -1,22 +1,30 @@
 """Unbounded n-gram scoring with sharded suffix arrays.
 
-The corpus is cut into shards of about SHARD_WORDS words as it is scanned; each task builds the suffix array of its shards over word numbers (prefix doubling, up to the
-longest query: no match can be longer). Queries are broadcast by block. From every query position a binary search narrows the shard's
-suffix interval word by word until nothing is left, so a shard returns the lengths at which each start's count changes (count_steps). Their sums over shards are exact
-corpus counts c(.). As an operator every document is a query, scored against all the others: its own occurrences are subtracted. The longest context of a word w that the corpus has, whatever its length, gives
+The corpus is cut into shards of about SHARD_WORDS words as it is scanned; each shard's suffix array over word numbers is built once (prefix doubling over the positions that are
+not told apart yet) and written. Queries come in blocks of about BLOCK_WORDS words, and each block reads the shards twice:
 
-    P_L(w),   P_k(w) = (c(context_k w) + MU * P_(k-1)(w)) / (c(context_k) + MU),   P_0(w) = (c(w) + MU / V) / (N + MU)
+1. Binary search in the suffix arrays gives each query position's longest match in any shard; a match that one suffix interval shares is followed at once by word hashes, so a long copy
+   costs a few searches, not one for each word. From these follows the longest context of each word, whatever its length.
+2. The contexts found, and these with their word, are looked up again, each different one once, and their counts summed over the shards.
 
-with contexts of 0 to L words, N the corpus' words and V = N + 1 a bound on its vocabulary.
+With c(.) the exact corpus counts, w a word, v the word before it and h its longest context (the longest run of words before it that the corpus has),
+
+    P_0(w) = (c(w) + MU / V) / (N + MU),   P_1(w) = (c(v w) + MU * P_0(w)) / (c(v) + MU),   P(w) = (c(h w) + MU * P_1(w)) / (c(h) + MU)
+
+where a level whose context the corpus lacks is left out; N is the corpus' words and V = N + 1 a bound on its vocabulary. As an operator the queries are the rows whose id is divisible by EVERY, and
+all rows are the corpus; what a query's own row (and rows that repeat it, with its id and text) holds is left out of its counts and contexts.
+
+What a task returns are different suffixes and counts, combined over its shards, so it grows with the corpus and never beyond; a block's results meet on the driver, 8 bytes for each of its words and looked-up contexts.
 
 Defined cases: null and empty queries have no words: null scores, 0 words; null and empty corpus texts hold nothing; matches don't cross documents; an empty corpus gives every word 1 / V;
-rows that repeat are scored each, also those without id; repeated corpus rows count as often as they stand there. Extra columns stay and take no part.
+a row with a null id is no query of every(), but corpus; rows that repeat are scored each; rows with equal id but different texts are different documents and count for each other. Extra columns stay and take no part.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,214 +32,412 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sized, word_codes
+from .common import _power, discard, mix, ranges, word_codes, written
 
 SHARD_WORDS = 1_000_000
 MU = 1.0
-#: Words of queries that are broadcast at once; more are scored in several scans.
-BLOCK_WORDS = 1_000_000
+#: Words of queries that are searched at once; more are searched in several passes over the shards.
+BLOCK_WORDS = 2_000_000
+EVERY = 100
+_PART = 1 << 16
 
 
-def suffix_array(x: np.ndarray, most: int) -> np.ndarray:
-    """Positions of x in the order of their suffixes, compared over the first `most` numbers or more."""
+def suffix_array(x: np.ndarray) -> np.ndarray:
+    """Positions of x in the order of their suffixes. x must end in a number that occurs once."""
     n = len(x)
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    h = 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        if h < n:
-            nxt[:-h] = rank[h:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        if h >= most:
-            return order
-        k = key[order]
-        new = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+    order = np.argsort(x, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(head, size)
+    slots, h = np.flatnonzero(np.repeat(size > 1, size)), 1
+    while len(slots):
+        at = order[slots]
+        key = rank[at] * n + rank[np.minimum(at + h, n - 1)]
+        o = np.argsort(key, kind="stable")
+        at, key = at[o], key[o]
+        order[slots] = at
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(at)))
+        rank[at] = np.repeat(slots[head], size)
+        slots = slots[np.repeat(size > 1, size)]
         h *= 2
-
-
-def _by_length(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """For each length: the starts of the query substrings of it that occur in the corpus, the length, and their counts."""
-    if not len(queries) or not len(corpus):
-        return
-    vocabulary = np.unique(corpus)
-    x = np.searchsorted(vocabulary, corpus)
-    at = np.minimum(np.searchsorted(vocabulary, queries), len(vocabulary) - 1)
-    q = np.where((vocabulary[at] == queries) & (queries != 0), at, -1)
-    reach = query_end - np.arange(len(queries))
-    suffixes = suffix_array(x, int(reach.max()))
-    padded = np.concatenate([x, np.full(int(reach.max()) + 1, -2)])
-    start = np.flatnonzero(q >= 0)
-    low, high = np.zeros(len(start), np.int64), np.full(len(start), len(x), np.int64)
-    depth = 0
-    while len(start):
-        want = q[start + depth]
-        # a suffix alone in its interval, as behind the first words of a long repeat, needs no search
-        alone = high - low == 1
-        high[alone] = low[alone] + (padded[suffixes[low[alone]] + depth] == want[alone])
-        several = np.flatnonzero(~alone)
-        if len(several):
-            sought, bounds = want[several], []
-            for side in (0, 1):  # the first suffix whose word at this depth isn't below want, then the first above it
-                a, b = low[several], high[several]
-                while (open_ := a < b).any():
-                    mid = (a + b) >> 1
-                    here = padded[suffixes[np.minimum(mid, len(x) - 1)] + depth]
-                    up = open_ & ((here < sought) if side == 0 else (here <= sought))
-                    b = np.where(open_ & ~up, mid, b)
-                    a = np.where(up, mid + 1, a)
-                bounds.append(a)
-            low[several], high[several] = bounds
-        live = high > low
-        start, low, high = start[live], low[live], high[live]
-        depth += 1
-        yield start, depth, high - low
-        more = reach[start] > depth
-        start, low, high = start[more], low[more], high[more]
-        known = q[start + depth] >= 0
-        start, low, high = start[known], low[known], high[known]
-
-
-def substring_counts(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, count) of every query substring that occurs in the corpus. corpus: word hashes, 0 between documents. query_end[i]: where the query of position i ends."""
-    found = [(s, np.full(len(s), d), c) for s, d, c in _by_length(corpus, queries, query_end)]
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)  # type: ignore[return-value]
-
-
-def count_steps(corpus: np.ndarray, queries: np.ndarray, query_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, change): where a start's count changes as its substring gets a word longer, down to 0 behind the longest. A text that stands
-    in the corpus has a few of these for each word, not one for each length. Steps of several corpora add up."""
-    held, found = np.zeros(len(queries), np.int64), []
-    before = np.zeros(0, np.int64)
-    depth = 0
-    for start, depth, count in _by_length(corpus, queries, query_end):
-        now = np.zeros(len(before), np.int64)
-        if depth == 1:
-            before, now = start, count
-        else:
-            at = np.searchsorted(before, start)
-            now[at] = count
-        step = now - held[before]
-        some = step != 0
-        found.append((before[some], np.full(int(some.sum()), depth), step[some]))
-        held[before] = now
-        before = start
-    if len(before):
-        found.append((before, np.full(len(before), depth + 1), -held[before]))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)  # type: ignore[return-value]
-
-
-
-
-def _gathered(queries):
+    return order
+
+
+class Run:
+    """Words (64-bit hashes) of several documents in a row, each document closed by a mark of its own; hashes of any stretch of them."""
+
+    def __init__(self, codes: np.ndarray, ends: np.ndarray) -> None:
+        """ends: the place of each document's mark."""
+        self.codes, self.ends = codes, ends
+        up, self.down = _power(len(codes) + 1)
+        self.total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=self.total[1:])
+
+    def hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix((self.total[at + length] - self.total[at]) * self.down[at])
+
+
+def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the documents with a place for each one's mark, and those places."""
+    sizes = np.array([len(d) + 1 for d in docs], np.int64)
+    ends = np.cumsum(sizes) - 1
+    codes = np.zeros(int(sizes.sum()), np.uint64)
+    for d, e in zip(docs, ends):
+        codes[e - len(d) : e] = d
+    return codes, ends
+
+
+def common(x: Run, i: np.ndarray, y: Run, j: np.ndarray, known: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Words that x from i and y from j share, at most `most`; the first `known` are. Stretches of words are compared by hash, doubling and then halving."""
+    low = known.copy()
+    most = np.minimum(most, len(y.codes) - j)
+    some = np.flatnonzero(low < most)
+    some = some[x.codes[i[some] + low[some]] == y.codes[j[some] + low[some]]]
+    high, step = most.copy(), 1
+    open_ = some
+    while len(open_):  # the first stretch that differs
+        reach = np.minimum(low[open_] + step, most[open_])
+        same = x.hash(i[open_], reach) == y.hash(j[open_], reach)
+        high[open_[~same]] = reach[~same]
+        low[open_[same]] = reach[same]
+        open_ = open_[same & (reach < most[open_])]
+        step *= 2
+    while len(some := some[low[some] + 1 < high[some]]):
+        mid = (low[some] + high[some]) // 2
+        same = x.hash(i[some], mid) == y.hash(j[some], mid)
+        low[some[same]], high[some[~same]] = mid[same], mid[~same]
+    return low
+
+
+@dataclass
+class Shard:
+    run: Run
+    vocabulary: np.ndarray  #: different word hashes, ascending
+    x: np.ndarray  #: of each place the word's number, beyond those of the marks
+    order: np.ndarray  #: the suffix array
+
+    def __post_init__(self) -> None:
+        self.marks = len(self.run.ends)
+        self.k = self.marks + len(self.vocabulary)
+        firsts = np.bincount(self.x, minlength=self.k)
+        self.at = np.concatenate([[0], np.cumsum(firsts)])
+        self.pairs = self.x[self.order] * self.k + self.x[np.minimum(self.order + 1, len(self.x) - 1)]
+
+    def narrowed(self, q: Run, words: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each start in q the words of its longest prefix, of at most `most`, that the shard has, and that prefix's suffix interval. words: q's words as numbers of this shard, -1 where it lacks them."""
+        n = len(starts)
+        depth, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        live = np.flatnonzero((most > 0) & (words[starts] >= 0))
+        w = words[starts[live]]
+        depth[live], low[live], high[live] = 1, self.at[w], self.at[w + 1]
+        live = live[most[live] > 1]
+        live = live[words[starts[live] + 1] >= 0]
+        want = words[starts[live]] * self.k + words[starts[live] + 1]
+        a, b = np.searchsorted(self.pairs, want), np.searchsorted(self.pairs, want, side="right")
+        some = b > a
+        live = live[some]
+        depth[live], low[live], high[live] = 2, a[some], b[some]
+        live = live[most[live] > 2]
+        while len(live):
+            d, a, b = depth[live], low[live], high[live]
+            want = words[starts[live] + d]
+            first, last = self.order[a], self.order[b - 1]
+            whole = (self.x[first + d] == want) & (self.x[last + d] == want)
+            if whole.any():  # the interval as a whole goes on: to where either end differs
+                i = live[whole]
+                reach = common(q, starts[i], self.run, first[whole], d[whole], most[i])
+                several = np.flatnonzero(b[whole] - a[whole] > 1)
+                if len(several):
+                    reach[several] = np.minimum(reach[several], common(q, starts[i[several]], self.run, last[whole][several], d[whole][several], most[i[several]]))
+                depth[i] = reach
+            part = ~whole & (b - a > 1) & (want >= 0)
+            if part.any():
+                i = live[part]
+                bounds = [self._bound(a[part], b[part], d[part], want[part], side) for side in (0, 1)]
+                some = bounds[1] > bounds[0]
+                i = i[some]
+                low[i], high[i] = bounds[0][some], bounds[1][some]
+                depth[i] += 1
+                part[np.flatnonzero(part)[~some]] = False
+            live = live[whole | part]
+            live = live[depth[live] < most[live]]
+        return depth, low, high
+
+    def _bound(self, a: np.ndarray, b: np.ndarray, d: np.ndarray, want: np.ndarray, side: int) -> np.ndarray:
+        """Binary search: the first suffix of each interval whose word at depth d isn't below want (side 0), or is above it (side 1)."""
+        a, b, top = a.copy(), b.copy(), len(self.order) - 1
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            here = self.x[self.order[np.minimum(mid, top)] + d[open_]]
+            up = here < want[open_] if side == 0 else here <= want[open_]
+            a[open_[up]], b[open_[~up]] = mid[up] + 1, mid[~up]
+            open_ = open_[a[open_] < b[open_]]
+        return a
+
+
+def indexed(codes: np.ndarray, ends: np.ndarray, order: np.ndarray | None = None) -> Shard:
+    """The shard of documents as joined() gives them."""
+    is_mark = np.zeros(len(codes), bool)
+    is_mark[ends] = True
+    vocabulary, number = np.unique(codes[~is_mark], return_inverse=True)
+    x = np.empty(len(codes), np.int64)
+    x[is_mark], x[~is_mark] = np.arange(len(ends)), number + len(ends)
+    marked = codes.copy()
+    marked[ends] = mix(np.arange(1, len(ends) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return Shard(Run(marked, ends), vocabulary, x, suffix_array(x) if order is None else order)
+
+
+def numbers(shard: Shard, codes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """codes[which] as the shard's word numbers, -1 where it lacks them; codes are different and ascending."""
+    if not len(shard.vocabulary) or not len(codes):
+        return np.full(len(which), -1, np.int64)
+    at = np.minimum(np.searchsorted(shard.vocabulary, codes), len(shard.vocabulary) - 1)
+    return np.where(shard.vocabulary[at] == codes, at + shard.marks, -1)[which]
+
+
+INDEX = "n bigint, codes binary, ends binary, keys binary, suffixes binary"
+
+
+def _indexing(shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ends = queries.value
-        parts: list[np.ndarray] = []
-        held = total = 0
+        docs: list[np.ndarray] = []
+        keys: list[int] = []
+        held = 0
 
-        def counted() -> pa.RecordBatch:
-            s, d, c = count_steps(np.concatenate(parts), codes, ends)
-            return pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(d.astype(np.int32)), pa.array(c.astype(np.int64))], names=["start", "length", "n"])
+        def shard() -> pa.RecordBatch:
+            codes, ends = joined(docs)
+            s = indexed(codes, ends)
+            return pa.RecordBatch.from_pydict({"n": [held], "codes": [codes.tobytes()], "ends": [ends.astype("<i8").tobytes()], "keys": [np.array(keys, np.int64).tobytes()], "suffixes": [s.order.astype("<i4").tobytes()]}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("codes", "ends", "keys", "suffixes"))]))
 
         for b in batches:
-            words, at = word_codes(b.column(0))
-            for i in range(b.num_rows):
-                doc = words[at[i] : at[i + 1]]
-                total += len(doc)
-                if len(doc):
-                    parts += [doc, np.zeros(1, np.uint64)]
-                    held += len(doc) + 1
-                if held >= SHARD_WORDS:
-                    yield counted()
-                    parts, held = [], 0
+            words, at = word_codes(b.column(1))
+            for i, key in enumerate(b.column(0).to_pylist()):
+                if at[i + 1] > at[i]:
+                    docs.append(words[at[i] : at[i + 1]])
+                    keys.append(key)
+                    held += len(docs[-1])
+                if held >= shard_words:
+                    yield shard()
+                    docs, keys, held = [], [], 0
         if held:
-            yield counted()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names=["start", "length", "n"])
+            yield shard()
 
     return run
 
 
-def probabilities(n: int, steps: tuple[np.ndarray, np.ndarray, np.ndarray], total: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of a query's n words: probability, words of the longest context, and whether the corpus has the word. steps: as of count_steps(), of all the corpus."""
-    key, where = np.unique(steps[0] * (n + 2) + steps[1], return_inverse=True)
-    held = np.cumsum(np.bincount(where, steps[2], len(key)).astype(np.int64))  # 0 again behind each start's longest substring
-
-    def count(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(key, start * (n + 2) + length, side="right") - 1
-        return np.where(at >= 0, held[at], 0) if len(key) else np.zeros(len(start), np.int64)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray]]:
+    for b in batches:
+        for codes, ends, keys, suffixes in zip(*(b.column(k) for k in range(1, 5))):
+            yield indexed(np.frombuffer(codes.as_buffer(), np.uint64), np.frombuffer(ends.as_buffer(), "<i8"), np.frombuffer(suffixes.as_buffer(), "<i4").astype(np.int64)), np.frombuffer(keys.as_buffer(), np.int64)
+
+
+@dataclass
+class Block:
+    """Queries that are searched together."""
+
+    codes: np.ndarray
+    ends: np.ndarray
+    keys: np.ndarray | None  #: of the documents that are left out, ascending as the documents are
+    different: np.ndarray  #: the words once each, ascending
+    which: np.ndarray  #: of each place
+    order: np.ndarray  #: the suffix array of the queries: neighbours are looked up one after the other
+
+
+def longest(shard: Shard, keys: np.ndarray, q: Run, block: Block) -> np.ndarray:
+    """For each start, in the block's suffix order, the longest match in the shard without rows of its own key."""
+    start = block.order
+    doc = np.searchsorted(q.ends, start)
+    most = q.ends[doc] - start
+    depth, low, _ = shard.narrowed(q, numbers(shard, block.different, block.which), start, most)
+    # starts with one and the same match need to be named once
+    new = np.zeros(len(start), bool)
+    new[np.unique(low * (1 << 32) + depth, return_index=True)[1]] = True
+    out = np.where(new, depth, 0)
+    if block.keys is not None and len(block.keys):
+        own = np.searchsorted(block.keys, keys)
+        own[own == len(block.keys)] = 0
+        mine = np.flatnonzero(block.keys[own] == keys)
+        if len(mine):
+            place = np.full(len(block.keys), -1)
+            place[own[mine]] = mine
+            here = np.flatnonzero(place[doc] >= 0)
+            of = place[doc[here]]
+            at = shard.run.ends[of] - most[here]
+            # the nearest suffixes on either side that are of documents with another key
+            same = np.unique(keys, return_inverse=True)[1][np.searchsorted(shard.run.ends, shard.order)]
+            opens = np.concatenate([[True], same[1:] != same[:-1]])
+            head = np.flatnonzero(opens)
+            rank = np.empty(len(shard.order), np.int64)
+            rank[shard.order] = np.arange(len(shard.order))
+            run = np.cumsum(opens)[rank[at]] - 1
+            best = np.zeros(len(here), np.int64)
+            for side in (head[run] - 1, np.append(head, len(shard.order))[run + 1]):
+                there = (side >= 0) & (side < len(shard.order))
+                best[there] = np.maximum(best[there], common(q, start[here[there]], shard.run, shard.order[side[there]], np.zeros(int(there.sum()), np.int64), most[here[there]]))
+            out[here] = best
+    return out
+
+
+def _packed(values: np.ndarray) -> pa.RecordBatch:
+    """The entries of values that aren't 0, by parts of _PART places."""
+    at = np.flatnonzero(values)
+    edges = np.searchsorted(at, np.arange(0, len(values) + _PART, _PART))
+    parts = [p for p in range(len(edges) - 1) if edges[p + 1] > edges[p]]
+    cut = lambda x, kind: [pa.compress(x[edges[p] : edges[p + 1]].astype(kind).tobytes(), "zstd", asbytes=True) for p in parts]
+    return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "size": pa.array([int(edges[p + 1] - edges[p]) for p in parts], pa.int32()), "at": pa.array(cut(at % _PART, "<u2"), pa.binary()), "value": pa.array(cut(values[at], "<i8"), pa.binary())})
+
+
+PACKED = "part int, size int, at binary, value binary"
+
+
+def _combined(sum_: bool):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(_PART, np.int64)
+        for size, at, value in zip(pdf["size"], pdf["at"], pdf["value"]):
+            at = np.frombuffer(pa.decompress(at, 2 * size, "zstd"), "<u2").astype(np.int64)
+            value = np.frombuffer(pa.decompress(value, 8 * size, "zstd"), "<i8")
+            total[at] = total[at] + value if sum_ else np.maximum(total[at], value)
+        return pd.DataFrame({"part": [key[0]], "total": [pa.compress(total.astype("<i8").tobytes(), "zstd", asbytes=True)]})
 
-    i = np.arange(n)
-    end = i.copy()
-    alive = np.flatnonzero(held > 0)
-    # a start's count is more than 0 up to its next step; its last step leads to 0
-    np.maximum.at(end, key[alive] // (n + 2), key[alive] // (n + 2) + key[alive + 1] % (n + 2) - 1)
-    longest = i - np.searchsorted(end, i)
-    one = np.ones(n, np.int64)
-    p = (count(i, one) + mu / (total + 1)) / (total + mu)
-    # each longer context leaves the shorter ones mu / (count + mu) of their weight, so those under the last `most` are below a double's precision
-    most = math.ceil(60 * math.log(2) / math.log1p(1 / mu)) if mu > 0 else 1
-    k = np.maximum(longest - most, 0)
-    while (more := np.flatnonzero(k < longest)).size:
-        k[more] += 1
-        j = more - k[more]
-        p[more] = (count(j, k[more] + 1) + mu * p[more]) / (count(j, k[more]) + mu)
-    return p, longest, count(i, one) > 0
-
-
-SCORES = "__row bigint, n_words int, log_prob double, perplexity double, mean_context double, longest_context int, unseen int"
-
-
-def scores(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text: str = "text", mu: float = MU, leave_out: bool = False) -> DataFrame:
-    """leave_out: the queries are rows of the corpus, and each is scored against the others.
-    id_col, n_words, log_prob (natural, of the whole text), perplexity, mean_context and longest_context (words of the longest contexts found), unseen (words that the corpus lacks): a row for each row of queries."""
-    spark = queries.sparkSession
-    rows = checkpointed(queries.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).withColumn("__row", F.monotonically_increasing_id()))
+    return run
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, at = word_codes(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codes[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["__row", "codes"])
 
-    coded = checkpointed(rows.select("__row", "__text").mapInArrow(sizes, "__row bigint, codes binary"))
-    words = coded.agg(F.coalesce(F.sum(F.length("codes") / 8), F.lit(0.0))).first()[0]
-    blocks = max(1, math.ceil(words / BLOCK_WORDS))
-    done: DataFrame | None = None
+def _gathered(index: DataFrame, task, n: int, sum_: bool) -> np.ndarray:
+    out = np.zeros(-(-max(n, 1) // _PART) * _PART, np.int64)
+    for r in index.mapInArrow(task, PACKED).groupBy("part").applyInPandas(_combined(sum_), "part int, total binary").collect():
+        out[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(pa.decompress(r.total, 8 * _PART, "zstd"), "<i8")
+    return out[:n]
+
+
+def contexts(matched: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The longest context of each place from the longest match of each start: the first start, in its document, whose match reaches the place. docs: where each place's document begins."""
+    i = np.arange(len(matched))
+    return np.minimum(i - np.searchsorted(np.maximum.accumulate(i + matched), i), i - docs)
+
+
+def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool) -> list[dict]:
+    """Scores of a block's rows (key, copies, codes)."""
+    spark = index.sparkSession
+    docs = [np.frombuffer(r.codes, np.uint64) for r in rows]
+    codes, ends = joined(docs)
+    own = indexed(codes, ends)
+    q, n = own.run, len(codes)
+    different, which = np.unique(codes, return_inverse=True)
+    order = own.order[own.marks :]  # without the marks themselves
+    block = Block(codes, ends, np.array([r.key for r in rows], np.int64) if leave_out else None, different, which, order)
+    shared = spark.sparkContext.broadcast(block)
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared.value
+        run, best = Run(x.codes, x.ends), np.zeros(len(x.order), np.int64)
+        for shard, keys in _shards(batches):
+            np.maximum(best, longest(shard, keys, run, x), out=best)
+        yield _packed(best)
+
+    best = _gathered(index, matching, len(order), False)
+    shared.unpersist()
+    doc = np.searchsorted(ends, order)
+    # a start has what its neighbours in suffix order have, as far as they agree
+    agree = np.zeros(len(order), np.int64)
+    agree[1:] = common(q, order[1:], q, order[:-1], np.zeros(max(0, len(order) - 1), np.int64), np.minimum(ends[doc[1:]] - order[1:], ends[doc[:-1]] - order[:-1])) if len(order) else 0
+    for steps in (range(1, len(order)), range(len(order) - 2, -1, -1)):
+        known, lcp = best.tolist(), agree.tolist()
+        up = steps.step > 0
+        for k in steps:
+            v = min(known[k - 1], lcp[k]) if up else min(known[k + 1], lcp[k + 1])
+            if v > known[k]:
+                known[k] = v
+        best = np.array(known, np.int64)
+    matched = np.zeros(n, np.int64)
+    matched[order] = best
+    of = np.searchsorted(ends, np.arange(n))
+    begins = np.concatenate([[0], ends[:-1] + 1])[of] if n else np.zeros(0, np.int64)
+    context = contexts(matched, begins)
+    word = np.ones(n, bool)
+    word[ends] = False
+    i = np.flatnonzero(word)
+    long = context[i]
+    asked = [(i, np.ones(len(i), np.int64), np.ones(len(i), bool)), (i - 1, np.ones(len(i), np.int64), long > 0), (i - 1, np.full(len(i), 2), long > 0), (i - long, long, long > 1), (i - long, long + 1, long > 1)]
+    start, size = np.concatenate([s[ok] for s, _, ok in asked]), np.concatenate([m[ok] for _, m, ok in asked])
+    rank = np.zeros(n, np.int64)
+    rank[order] = np.arange(len(order))
+    _, first, back = np.unique(mix(q.hash(start, size) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    by_rank = np.argsort(rank[start[first]], kind="stable")
+    place = np.empty(len(by_rank), np.int64)
+    place[by_rank] = np.arange(len(by_rank))
+    nodes, lengths = start[first][by_rank], size[first][by_rank]
+    looked = spark.sparkContext.broadcast((codes, ends, different, which, nodes, lengths))
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, ends, different, which, nodes, lengths = looked.value
+        run, counts = Run(codes, ends), np.zeros(len(nodes), np.int64)
+        for shard, _ in _shards(batches):
+            depth, low, high = shard.narrowed(run, numbers(shard, different, which), nodes, lengths)
+            counts += np.where(depth == lengths, high - low, 0)
+        yield _packed(counts)
+
+    counts = _gathered(index, counting, len(nodes), True)[place[back]]
+    looked.unpersist()
+    n_own = np.array([len(d) for d in docs], np.int64) * np.array([r.copies for r in rows], np.int64)
+    rest = total - (n_own if leave_out else 0 * n_own)
+    if leave_out:  # what the query's own rows hold, from the queries' suffix array
+        _, low, high = own.narrowed(q, numbers(own, different, which), nodes, lengths)
+        low, high = low[place[back]], high[place[back]]
+        by_doc = np.sort(np.searchsorted(ends, own.order) * (len(own.order) + 1) + np.arange(len(own.order)))
+        mine = of[start] * (len(own.order) + 1)
+        counts = counts - (np.searchsorted(by_doc, mine + high) - np.searchsorted(by_doc, mine + low)) * np.array([r.copies for r in rows], np.int64)[of[start]]
+    c, k = [], 0
+    for s, _, ok in asked:
+        x = np.zeros(len(s), np.int64)
+        x[ok] = counts[k : k + int(ok.sum())]
+        c.append(x)
+        k += int(ok.sum())
+    left = rest[of[i]].astype(float)
+    p = (c[0] + mu / (left + 1)) / (left + mu)
+    p = np.where(long > 0, (c[2] + mu * p) / (c[1] + mu), p)
+    p = np.where(long > 1, (c[4] + mu * p) / (c[3] + mu), p)
+    out, log = [], np.log(p)
+    edges = np.searchsorted(of[i], np.arange(len(docs) + 1))
+    for d, r in enumerate(rows):
+        a, b = edges[d], edges[d + 1]
+        if a == b:
+            out.append({"key": r.key, "n_words": 0, "log_prob": None, "perplexity": None, "mean_context": None, "longest_context": None, "unseen": 0})
+            continue
+        total_log = math.fsum(log[a:b])
+        out.append({"key": r.key, "n_words": int(b - a), "log_prob": total_log, "perplexity": math.exp(-total_log / (b - a)), "mean_context": float(long[a:b].mean()), "longest_context": int(long[a:b].max()), "unseen": int((c[0][a:b] <= 0).sum())})
+    return out
+
+
+SCORES = "key bigint, n_words int, log_prob double, perplexity double, mean_context double, longest_context int, unseen int"
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        codes, at = word_codes(b.column(1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([codes[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["key", "copies", "codes"])
+
+
+def scores(corpus: DataFrame, queries: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", query_text: str = "text", every: int = EVERY, mu: float = MU, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id_col, n_words, log_prob (natural, of the whole text), perplexity, mean_context and longest_context (words of the longest contexts found), unseen (words that the corpus lacks): a row for each row of queries.
+    With queries, id_col and query_text are theirs. Without, these are the corpus' rows whose id_col is divisible by every, and each is scored against all other rows."""
+    spark = corpus.sparkSession
+    key = lambda i, t: F.xxhash64(i.cast("string"), t.cast("string"))
+    leave_out = queries is None
+    if queries is None:
+        queries, query_text = corpus.where(F.pmod(F.col(id_col).cast("bigint"), F.lit(every)) == 0), text_col
+    rows = queries.select(F.col(id_col), key(F.col(id_col), F.col(query_text)).alias("key"), F.col(query_text).cast("string").alias("text"))
+    index = written(corpus.select((key(F.col(id_col), F.col(text_col)) if leave_out else F.lit(0).cast("bigint")).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(_indexing(shard_words), INDEX), "suffixes")
+    coded = written(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("key", "text", "copies").mapInArrow(_coded, "key bigint, copies bigint, codes binary"), "queries")
+    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(coded.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] / 8 / block_words))
+    done = None
     for k in range(blocks):
-        block = coded.where(F.pmod(F.xxhash64("__row"), F.lit(blocks)) == k).collect()
-        codes = [np.frombuffer(r.codes, np.uint64) for r in block]
-        at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        shared = spark.sparkContext.broadcast((flat, np.repeat(at[1:], np.diff(at))))
-        counts = corpus.select(F.col(corpus_text).cast("string").alias("text")).mapInArrow(_gathered(shared), "start int, length int, n bigint").groupBy("start", "length").agg(F.sum("n").alias("n"))
-        counts = checkpointed(counts)
-        total = counts.where("start = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        places = spark.createDataFrame(pd.DataFrame({"query": np.repeat(np.arange(len(block)), np.diff(at)), "start": np.arange(len(flat)), "offset": np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))}), "query int, start int, offset int")
-        lengths = spark.createDataFrame(pd.DataFrame({"query": range(len(block)), "__row": [r["__row"] for r in block]}), "query int, __row bigint").join(coded, "__row")
-        per = counts.join(sized(places, len(flat)), "start").groupBy("query").agg(F.collect_list(F.struct("offset", "length", "n")).alias("counts"))
-
-        def scored(batches: Iterator[pa.RecordBatch], total: int = total) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for row, text, steps in zip(*b.columns):
-                    own = np.frombuffer(text.as_py(), np.uint64)
-                    n, rest = len(own), total
-                    flat = steps.values.flatten() if steps.is_valid else [pa.array([], pa.int64())] * 3
-                    changes = tuple(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in flat)
-                    if leave_out and n:
-                        mine = count_steps(own, own, np.full(n, n))
-                        changes = (np.concatenate([changes[0], mine[0]]), np.concatenate([changes[1], mine[1]]), np.concatenate([changes[2], -mine[2]]))
-                        rest -= n
-                    p, context, seen = probabilities(n, changes, rest, mu)
-                    log = math.fsum(np.log(p)) if n else None
-                    out.append({"__row": row.as_py(), "n_words": n, "log_prob": log, "perplexity": math.exp(-log / n) if n else None, "mean_context": float(context.sum()) / n if n else None, "longest_context": int(context.max()) if n else None, "unseen": n - int(seen.sum())})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("__row", pa.int64()), ("n_words", pa.int32()), ("log_prob", pa.float64()), ("perplexity", pa.float64()), ("mean_context", pa.float64()), ("longest_context", pa.int32()), ("unseen", pa.int32())]))
-
-        part = lengths.join(per, "query", "left").select("__row", "codes", "counts").mapInArrow(scored, SCORES)
+        block = sorted(coded.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect(), key=lambda r: r.key)
+        scored = _scored(index, block, total, mu, leave_out) if block else []
+        part = written(spark.createDataFrame([tuple(r.values()) for r in scored], SCORES), "scores")
         done = part if done is None else done.unionByName(part)
-    return rows.drop("__text").join(done, "__row").drop("__row")
+    discard(index, coded)
+    return rows.drop("text").join(done, "key").drop("key")

@@ -21,8 +21,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return infinigram.scores(docs, docs, id_col="doc_id", leave_out=True)
+    return infinigram.scores(table(spark, sf_dir, "documents"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
