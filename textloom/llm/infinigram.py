@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import _power, discard, mix, ranges, word_codes, written
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 MU = 1.0
 #: Words of queries that are searched at once; more are searched in several passes over the shards.
 BLOCK_WORDS = 2_000_000
@@ -178,16 +178,19 @@ class Shard:
         return a
 
 
-def indexed(codes: np.ndarray, ends: np.ndarray, order: np.ndarray | None = None) -> Shard:
+def indexed(codes: np.ndarray, ends: np.ndarray) -> Shard:
     """The shard of documents as joined() gives them."""
     is_mark = np.zeros(len(codes), bool)
     is_mark[ends] = True
     vocabulary, number = np.unique(codes[~is_mark], return_inverse=True)
     x = np.empty(len(codes), np.int64)
     x[is_mark], x[~is_mark] = np.arange(len(ends)), number + len(ends)
-    marked = codes.copy()
-    marked[ends] = mix(np.arange(1, len(ends) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return Shard(Run(marked, ends), vocabulary, x, suffix_array(x) if order is None else order)
+    return opened(x, ends, vocabulary, suffix_array(x))
+
+
+def opened(x: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray, order: np.ndarray) -> Shard:
+    marks = mix(np.arange(1, len(ends) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return Shard(Run(np.concatenate([marks, vocabulary])[x], ends), vocabulary, x, order)
 
 
 def numbers(shard: Shard, codes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -198,7 +201,7 @@ def numbers(shard: Shard, codes: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.where(shard.vocabulary[at] == codes, at + shard.marks, -1)[which]
 
 
-INDEX = "n bigint, codes binary, ends binary, keys binary, suffixes binary"
+INDEX = "n bigint, numbers binary, ends binary, keys binary, vocabulary binary, suffixes binary"
 
 
 def _indexing(shard_words: int):
@@ -210,7 +213,8 @@ def _indexing(shard_words: int):
         def shard() -> pa.RecordBatch:
             codes, ends = joined(docs)
             s = indexed(codes, ends)
-            return pa.RecordBatch.from_pydict({"n": [held], "codes": [codes.tobytes()], "ends": [ends.astype("<i8").tobytes()], "keys": [np.array(keys, np.int64).tobytes()], "suffixes": [s.order.astype("<i4").tobytes()]}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in ("codes", "ends", "keys", "suffixes"))]))
+            held_ = {"numbers": s.x.astype("<i4"), "ends": ends.astype("<i8"), "keys": np.array(keys, np.int64), "vocabulary": s.vocabulary, "suffixes": s.order.astype("<i4")}
+            return pa.RecordBatch.from_pydict({"n": [held], **{k: [v.tobytes()] for k, v in held_.items()}}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in held_)]))
 
         for b in batches:
             words, at = word_codes(b.column(1))
@@ -230,8 +234,9 @@ def _indexing(shard_words: int):
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray]]:
     for b in batches:
-        for codes, ends, keys, suffixes in zip(*(b.column(k) for k in range(1, 5))):
-            yield indexed(np.frombuffer(codes.as_buffer(), np.uint64), np.frombuffer(ends.as_buffer(), "<i8"), np.frombuffer(suffixes.as_buffer(), "<i4").astype(np.int64)), np.frombuffer(keys.as_buffer(), np.int64)
+        for k in range(b.num_rows):
+            x, ends, keys, vocabulary, order = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in enumerate(("<i4", "<i8", "<i8", "<u8", "<i4"), 1))
+            yield opened(x.astype(np.int64), ends, vocabulary, order.astype(np.int64)), keys
 
 
 @dataclass
