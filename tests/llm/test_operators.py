@@ -38,41 +38,6 @@ def none(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
-def test_near_pairs_are_those_of_brute_force(docs):
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in near.jaccard_join(docs).collect()}
-    grams = {}
-    for r in docs.where("doc_id is not null").collect():
-        w = words(r.text)
-        grams[r.doc_id] = frozenset(tuple(w[k : k + near.N]) for k in range(max(1, len(w) - near.N + 1))) if w else frozenset()
-    reps = {}
-    for d, g in sorted(grams.items()):
-        reps.setdefault(g, []).append(d)
-    want = {(ids[0], ids[1]): 1.0 for g, ids in reps.items() if g and len(ids) > 1}
-    for (g, x), (h, y) in itertools.combinations(reps.items(), 2):
-        if g and h and len(g & h) / len(g | h) >= near.THRESHOLD:
-            want[(min(x[0], y[0]), max(x[0], y[0]))] = len(g & h) / len(g | h)
-    assert got == pytest.approx(want)
-    kept = [r.doc_id for r in near.one_of_each(docs).collect()]
-    assert sorted(x or 0 for x in kept) == [0, 1, 4, 5, 6, 7, 8, 10, 11]
-
-
-def test_similar_sets_always_share_a_signature():
-    rng = np.random.default_rng(3)
-    for size in (1, 2, 3, 5, 6, 17, 64, 300):
-        for _ in range(20):
-            a = np.unique(rng.integers(1, 1 << 60, size, dtype=np.uint64))
-            b = a.copy()
-            change = rng.random(len(b)) < 0.3
-            b[change] = rng.integers(1, 1 << 60, int(change.sum()), dtype=np.uint64)
-            b = np.unique(b)
-            both = len(np.intersect1d(a, b))
-            if both / (len(a) + len(b) - both) < near.THRESHOLD:
-                continue
-            for cut in (0, 1 << 58, 1 << 61):
-                x, y = (near.signatures(s[np.lexsort((s, s > cut))], np.sort(s > cut), near.THRESHOLD) for s in (a, b))
-                assert len(np.intersect1d(x, y)), (size, cut)
-
-
 def test_line_dedup_removes_the_later_passage(docs):
     out = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
     shared = text(99, 60).split()

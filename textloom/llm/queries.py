@@ -62,15 +62,20 @@ QUERIES = {
 }
 
 NEAR_ORACLE = f"""
-WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {near.N} - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {near.N} + 1) + 1)) AS k FROM w WHERE len(w) > 0)),
-sets AS (SELECT doc_id, list_sort(list(g)) AS s, count(*) AS n FROM g GROUP BY doc_id),
-same AS (SELECT min(doc_id) AS rep, list_sort(list(doc_id)) AS ids, any_value(n) AS n FROM sets GROUP BY s),
-tokens AS (SELECT rep, g.g FROM same JOIN g ON g.doc_id = rep),
-shared AS (SELECT x.rep AS a, y.rep AS b, count(*) AS m FROM tokens x JOIN tokens y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
-scored AS (SELECT a, b, m / CAST(x.n + y.n - m AS DOUBLE) AS jaccard, list_sort(list_distinct(x.ids || y.ids)) AS doc_ids FROM shared JOIN same x ON a = x.rep JOIN same y ON b = y.rep)
-SELECT a AS doc_a, b AS doc_b, jaccard, doc_ids FROM scored WHERE jaccard >= {near.THRESHOLD}::DOUBLE - 1e-12
-UNION ALL SELECT ids[1], ids[2], 1.0::DOUBLE, ids FROM same WHERE len(ids) > 1"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS d, doc_id, {WORDS_SQL} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+g AS MATERIALIZED (SELECT DISTINCT d, array_to_string(w[k:k + {near.N} - 1], ' ') AS g FROM (SELECT d, w, unnest(range(1, greatest(1, len(w) - {near.N} + 1) + 1)) AS k FROM docs WHERE len(w) > 0)),
+sets AS MATERIALIZED (SELECT d, list_sort(list(g)) AS s, count(*) AS n FROM g GROUP BY d),
+nodes AS MATERIALIZED (SELECT min(d) AS node, list(d) AS ds, count(*) AS copies, any_value(n) AS n FROM sets GROUP BY s),
+tokens AS MATERIALIZED (SELECT node, g.g FROM nodes JOIN g ON g.d = node),
+shared AS (SELECT x.node AS a, y.node AS b, count(*) AS m FROM tokens x JOIN tokens y ON x.g = y.g AND x.node < y.node GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT a, b FROM shared JOIN nodes x ON a = x.node JOIN nodes y ON b = y.node WHERE m / CAST(x.n + y.n - m AS DOUBLE) >= {near.THRESHOLD}::DOUBLE - 1e-12),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+member AS (SELECT node, copies, unnest(ds) AS d FROM nodes),
+classes AS (SELECT r.a AS node, min(docs.doc_id) AS class_id, count(*) AS members FROM reach r JOIN member m ON m.node = r.b JOIN docs USING (d) GROUP BY r.a),
+links AS (SELECT a AS node, count(*) AS n FROM edges GROUP BY a)
+SELECT doc_id, class_id, copies - 1 AS n_copies, coalesce(links.n, 0) AS n_links
+FROM member JOIN docs USING (d) JOIN classes USING (node) LEFT JOIN links USING (node) WHERE members > 1"""
 
 ORACLES = {
     "op1_ngram_jaccard_join": NEAR_ORACLE,
