@@ -4,10 +4,10 @@ Each rule scores a document from 0 (bad) to 1 (good) and rejects scores below a
 stratum (language) on the labelled documents, which no rule was fitted to:
 
 * for each cutoff the number of good labelled documents that it rejects gives an exact binomial test of "the rule rejects more
-  than alpha of the good documents", and a cutoff is certified if P(Bin(n, alpha) <= rejected) <= delta / (rules * strata).
+  than alpha / rules of the good documents", and a cutoff is certified if P(Bin(n, alpha / rules) <= rejected) <= delta / (rules * strata).
   The cutoffs of a rule are nested, so testing them from lenient to strict up to the first failure needs no further
   correction (fixed sequence); rules and strata are corrected by Bonferroni. With probability 1 - delta all chosen cutoffs of
-  all strata hold their limit, and all rules together falsely reject at most rules * alpha of a stratum;
+  all strata hold their limit, and all rules together falsely reject at most alpha of a stratum;
 * the gain of a cutoff is the share of bad documents that it rejects less the share of good ones. Of the certified cutoffs the
   most lenient is used whose gain is within SLACK of the largest; a rule whose largest gain is under LEAST_GAIN is off in that
   stratum, so that no good document is lost to a rule that finds no bad ones.
@@ -15,26 +15,26 @@ stratum (language) on the labelled documents, which no rule was fitted to:
 Defined cases: a null or blank text is rejected as "empty"; a null stratum is the stratum "" with cutoffs of its own; labels with
 a null doc_id or quality are ignored, as are those of unknown documents; of several labels of a document all count; rows
 that repeat are judged each; a row with a null doc_id is judged by its text. Without labels nothing but empty texts is
-rejected. Extra columns stay and take no part.
+rejected. Any number of strata is worked on, each by itself. Extra columns stay and take no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import free_names, sized, text_or_empty, written
 
 GRID = 40
-ALPHA = 0.03
+#: Of the good documents of a stratum, for all rules together.
+ALPHA = 0.06
 DELTA = 0.05
 SLACK = 0.01
 LEAST_GAIN = 0.03
 SYMBOLS = r"[#$%&*|<>{}^~=@_\\]"
-#: More strata than this are more than a driver should hold cutoffs for.
-MOST_STRATA = 10_000
 
 
 def rules(text: Column) -> dict[str, Column]:
@@ -50,12 +50,12 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
-def levels(df: DataFrame, text_col: str, stratum_col: str) -> DataFrame:
-    """df with the struct __q: stratum, whether the text is blank, and each rule's level floor(score * GRID)."""
+def levels(df: DataFrame, text_col: str, stratum_col: str, name: str) -> DataFrame:
+    """df with the struct `name`: stratum, whether the text is blank, and each rule's level floor(score * GRID)."""
     text = text_or_empty(F.col(text_col))
     scored = {k: F.floor(v * GRID).cast("int") for k, v in rules(text).items()}
     return df.withColumn(
-        "__q",
+        name,
         F.struct(
             F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
             (~F.rlike(text, F.lit(r"\S"))).alias("empty"),
@@ -81,54 +81,66 @@ def _log_binomial_cdf(k: int, n: int, p: float) -> float:
     return math.log1p(-math.exp(log)) if upper else log
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """stratum -> rule -> cutoff level k (reject below k / GRID). One aggregation over the labelled documents; its result has at most strata * rules * (GRID + 1) rows."""
+def _chosen(alpha: float, share: float):
+    """The cutoffs of one stratum from its counts by rule and level."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {"stratum": [pdf["stratum"].iloc[0]], **{r: [0] for r in rules_names()}}
+        for rule, at in pdf.groupby("rule"):
+            at = {r.level: (r.good, r.bad) for r in at.itertuples()}
+            goods, bads = sum(g for g, _ in at.values()), sum(b for _, b in at.values())
+            good, bad, gains = 0, 0, {}
+            for k in range(1, GRID + 1):
+                good, bad = good + at.get(k - 1, (0, 0))[0], bad + at.get(k - 1, (0, 0))[1]
+                if not goods or not bads or _log_binomial_cdf(good, goods, alpha) > share:
+                    break
+                gains[k] = bad / bads - good / goods
+            if gains and (most := max(gains.values())) >= LEAST_GAIN:
+                out[rule] = [min(k for k, g in gains.items() if g >= most - SLACK)]
+        return pd.DataFrame(out)
+
+    return run
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and for each rule the cutoff level k (reject below k / GRID; 0: the rule is off), for the strata of labelled documents. The labelled documents are found first and only these are scored, while the labels are
+    few enough to broadcast; beyond that, levels are joined, so that no text is shuffled."""
     names = list(rules_names())
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality")).where("__id is not null and __quality is not null")
-    scored = levels(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(stratum_col).alias("__stratum")), "__text", "__stratum").select("__id", "__q")
-    flat = known.join(scored, "__id").where(~F.col("__q.empty")).select("__quality", "__q.stratum", F.explode(F.create_map(*[x for k in names for x in (F.lit(k), F.col(f"__q.{k}"))])).alias("rule", "level"))
-    counted = flat.groupBy("stratum", "rule", "level").agg(F.sum((F.col("__quality") == 1).cast("long")).alias("good"), F.sum((F.col("__quality") == 0).cast("long")).alias("bad"))
-    rows = counted.limit(MOST_STRATA * len(names) * (GRID + 1) + 1).collect()
-    if len(rows) > MOST_STRATA * len(names) * (GRID + 1):
-        raise ValueError(f"more than {MOST_STRATA} strata")
-    by: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-    for r in rows:
-        by.setdefault((r.stratum, r.rule), {})[r.level] = (r.good, r.bad)
-    share = math.log(delta / (len(names) * max(1, len({s for s, _ in by}))))
-    chosen: dict[str, dict[str, int]] = {}
-    for (stratum, rule), at in sorted(by.items()):
-        goods, bads = sum(g for g, _ in at.values()), sum(b for _, b in at.values())
-        good, bad, gains = 0, 0, {}
-        for k in range(1, GRID + 1):
-            good, bad = good + at.get(k - 1, (0, 0))[0], bad + at.get(k - 1, (0, 0))[1]
-            if not goods or not bads or _log_binomial_cdf(good, goods, alpha) > share:
-                break
-            gains[k] = bad / bads - good / goods
-        if gains and (most := max(gains.values())) >= LEAST_GAIN:
-            chosen.setdefault(stratum, {})[rule] = min(k for k, g in gains.items() if g >= most - SLACK)
-    return chosen
-
-
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs with __q and __failed: the names of the rules that reject the row, in alphabetic order."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").alias("quality")).where("id is not null and quality is not null")
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
+    small = sized(known, n := known.count())
+    if small is not known:
+        scored = levels(plain.join(small, "id"), "text", "lang", "q")
+    else:
+        scored = levels(plain, "text", "lang", "q").select("id", "q").join(known, "id")
+    flat = scored.where(~F.col("q.empty")).select("quality", "q.stratum", F.explode(F.create_map(*[x for k in names for x in (F.lit(k), F.col(f"q.{k}"))])).alias("rule", "level"))
+    counted = written(flat.groupBy("stratum", "rule", "level").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad")), "levels")
+    strata = counted.select("stratum").distinct().count() if n else 0
+    share = math.log(delta / (len(names) * max(1, strata)))
+    return written(counted.groupBy("stratum").applyInPandas(_chosen(alpha / len(names), share), "stratum string, " + ", ".join(f"{r} int" for r in names)), "cutoffs")
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the levels, and the names of the rules that reject the row, in alphabetic order."""
     chosen = cutoffs(docs, labels, id_col, text_col, stratum_col, alpha, delta)
+    q, failed, stratum, cuts = free_names(docs, "levels", "failed", "stratum", "cutoffs")
     names = sorted(rules_names())
-    failed = [F.when(F.col("__q.empty"), F.lit("empty"))]
-    for name in names:
-        at = [x for s, c in chosen.items() if name in c for x in (F.lit(s), F.lit(c[name]))]
-        if at:
-            failed.append(F.when(~F.col("__q.empty") & (F.col(f"__q.{name}") < F.coalesce(F.element_at(F.create_map(*at), F.col("__q.stratum")), F.lit(0))), F.lit(name)))
-    return levels(docs, text_col, stratum_col).withColumn("__failed", F.array_compact(F.array(*failed)))
+    packed = chosen.select(F.col("stratum").alias(stratum), F.struct(*names).alias(cuts))
+    leveled = levels(docs, text_col, stratum_col, q).withColumn(stratum, F.col(f"{q}.stratum")).join(sized(packed, packed.count(), 64), stratum, "left")
+    tests = [F.when(F.col(f"{q}.empty"), F.lit("empty")), *[F.when(~F.col(f"{q}.empty") & (F.col(f"{q}.{r}") < F.coalesce(F.col(f"{cuts}.{r}"), F.lit(0))), F.lit(r)) for r in names]]
+    return leveled.withColumn(failed, F.array_compact(F.array(*tests))), q, failed
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, stratum, keep, failed (rule names, comma-separated) for every row."""
-    return judged(docs, labels, **options).select("doc_id", F.col("__q.stratum").alias("stratum"), (F.size("__failed") == 0).alias("keep"), F.array_join("__failed", ",").alias("failed"))
+    df, q, failed = judged(docs, labels, id_col, **options)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(f"{q}.stratum").alias("stratum"), (F.size(failed) == 0).alias("keep"), F.array_join(failed, ",").alias("failed"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that no rule rejects, with their columns as they came."""
-    return judged(docs, labels, **options).where(F.size("__failed") == 0).drop("__q", "__failed")
+    df, _, failed = judged(docs, labels, **options)
+    return df.where(F.size(failed) == 0).select(docs.columns)
 
 
 def _sql(docs: str) -> str:
@@ -152,7 +164,7 @@ def _sql(docs: str) -> str:
         count(*) FILTER (quality = 1 AND level < k) AS good, count(*) FILTER (quality = 0 AND level < k) AS bad
         FROM totals x JOIN flat f ON x.stratum = f.stratum AND x.rule = f.rule CROSS JOIN (SELECT unnest(range(1, {GRID} + 1)) AS k) GROUP BY x.stratum, x.rule, k),
     certified AS (SELECT *, bad / CAST(bads AS DOUBLE) - good / CAST(goods AS DOUBLE) AS gain FROM tried
-        WHERE goods > 0 AND bads > 0 AND list_sum(list_transform(range(0, good + 1), lambda j: exp(lgamma(goods + 1) - lgamma(j + 1) - lgamma(goods - j + 1) + j * ln({ALPHA}) + (goods - j) * ln(1 - {ALPHA}))))
+        WHERE goods > 0 AND bads > 0 AND list_sum(list_transform(range(0, good + 1), lambda j: exp(lgamma(goods + 1) - lgamma(j + 1) - lgamma(goods - j + 1) + j * ln({ALPHA / len(names)}) + (goods - j) * ln(1 - {ALPHA / len(names)}))))
             <= {DELTA} / ({len(names)} * (SELECT count(DISTINCT stratum) FROM totals))),
     gained AS (SELECT *, max(gain) OVER (PARTITION BY stratum, rule) AS most FROM certified),
     chosen AS (SELECT stratum, rule, min(k) AS k FROM gained WHERE most >= {LEAST_GAIN}::DOUBLE AND gain >= most - {SLACK}::DOUBLE GROUP BY stratum, rule)"""
