@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import _power, discard, mix, ranges, word_codes, written
 
-SHARD_WORDS = 500_000
+SHARD_WORDS = 2_000_000
 MU = 1.0
 #: Words of queries that are searched at once; more are searched in several passes over the shards.
 BLOCK_WORDS = 2_000_000
@@ -73,7 +73,8 @@ class Run:
         self.codes, self.ends = codes, ends
         up, self.down = _power(len(codes) + 1)
         self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.total[1:])
+        np.multiply(codes, up[: len(codes)], out=self.total[1:])
+        np.cumsum(self.total[1:], out=self.total[1:])
 
     def hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
         return mix((self.total[at + length] - self.total[at]) * self.down[at])
@@ -115,15 +116,22 @@ def common(x: Run, i: np.ndarray, y: Run, j: np.ndarray, known: np.ndarray, most
 class Shard:
     run: Run
     vocabulary: np.ndarray  #: different word hashes, ascending
-    x: np.ndarray  #: of each place the word's number, beyond those of the marks
-    order: np.ndarray  #: the suffix array
+    x: np.ndarray  #: of each place the word's number, beyond those of the marks (32 bits)
+    order: np.ndarray  #: the suffix array (32 bits)
 
     def __post_init__(self) -> None:
         self.marks = len(self.run.ends)
         self.k = self.marks + len(self.vocabulary)
         firsts = np.bincount(self.x, minlength=self.k)
         self.at = np.concatenate([[0], np.cumsum(firsts)])
-        self.pairs = self.x[self.order] * self.k + self.x[np.minimum(self.order + 1, len(self.x) - 1)]
+        self.pairs = self._keys(self.x[self.order], 1)
+
+    def _keys(self, before: np.ndarray, depth: int) -> np.ndarray:
+        """One ascending number for each suffix's words up to depth: that of those before it, and the next word."""
+        keys = before.astype(np.int64)
+        keys *= self.k
+        keys += self.x[np.minimum(self.order + depth, len(self.x) - 1)]
+        return keys
 
     def narrowed(self, q: Run, words: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each start in q the words of its longest prefix, of at most `most`, that the shard has, and that prefix's suffix interval. words: q's words as numbers of this shard, -1 where it lacks them."""
@@ -140,10 +148,21 @@ class Shard:
         live = live[some]
         depth[live], low[live], high[live] = 2, a[some], b[some]
         live = live[most[live] > 2]
+        live = live[words[starts[live] + 2] >= 0]
+        if len(live):  # most end here: three words are one look-up too
+            nth = np.cumsum(np.concatenate([[0], self.pairs[1:] != self.pairs[:-1]]), dtype=np.int32)
+            triples = self._keys(nth, 2)
+            want = nth[low[live]].astype(np.int64) * self.k + words[starts[live] + 2]
+            a, b = np.searchsorted(triples, want), np.searchsorted(triples, want, side="right")
+            del nth, triples
+            some = b > a
+            live = live[some]
+            depth[live], low[live], high[live] = 3, a[some], b[some]
+            live = live[most[live] > 3]
         while len(live):
             d, a, b = depth[live], low[live], high[live]
             want = words[starts[live] + d]
-            first, last = self.order[a], self.order[b - 1]
+            first, last = self.order[a].astype(np.int64), self.order[b - 1].astype(np.int64)
             whole = (self.x[first + d] == want) & (self.x[last + d] == want)
             if whole.any():  # the interval as a whole goes on: to where either end differs
                 i = live[whole]
@@ -185,7 +204,7 @@ def indexed(codes: np.ndarray, ends: np.ndarray) -> Shard:
     vocabulary, number = np.unique(codes[~is_mark], return_inverse=True)
     x = np.empty(len(codes), np.int64)
     x[is_mark], x[~is_mark] = np.arange(len(ends)), number + len(ends)
-    return opened(x, ends, vocabulary, suffix_array(x))
+    return opened(x.astype(np.int32), ends, vocabulary, suffix_array(x).astype(np.int32))
 
 
 def opened(x: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray, order: np.ndarray) -> Shard:
@@ -236,7 +255,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarr
     for b in batches:
         for k in range(b.num_rows):
             x, ends, keys, vocabulary, order = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in enumerate(("<i4", "<i8", "<i8", "<u8", "<i4"), 1))
-            yield opened(x.astype(np.int64), ends, vocabulary, order.astype(np.int64)), keys
+            yield opened(x, ends, vocabulary, order), keys
 
 
 @dataclass
@@ -323,6 +342,16 @@ def contexts(matched: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.minimum(i - np.searchsorted(np.maximum.accumulate(i + matched), i), i - docs)
 
 
+def carried(known: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """For each k the most of min(known[j], agree[j + 1], ..., agree[k]) for j up to k. Steps x -> max(a, min(b, x)) are joined in stretches of 1, 2, 4, ..."""
+    a, b = known.copy(), agree.copy()
+    h = 1
+    while h < len(a):
+        a[h:], b[h:] = np.maximum(a[h:], np.minimum(b[h:], a[:-h])), np.minimum(b[h:], b[:-h])
+        h *= 2
+    return a
+
+
 def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool) -> list[dict]:
     """Scores of a block's rows (key, copies, codes)."""
     spark = index.sparkSession
@@ -348,14 +377,7 @@ def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool
     # a start has what its neighbours in suffix order have, as far as they agree
     agree = np.zeros(len(order), np.int64)
     agree[1:] = common(q, order[1:], q, order[:-1], np.zeros(max(0, len(order) - 1), np.int64), np.minimum(ends[doc[1:]] - order[1:], ends[doc[:-1]] - order[:-1])) if len(order) else 0
-    for steps in (range(1, len(order)), range(len(order) - 2, -1, -1)):
-        known, lcp = best.tolist(), agree.tolist()
-        up = steps.step > 0
-        for k in steps:
-            v = min(known[k - 1], lcp[k]) if up else min(known[k + 1], lcp[k + 1])
-            if v > known[k]:
-                known[k] = v
-        best = np.array(known, np.int64)
+    best = np.maximum(carried(best, agree), carried(best[::-1], np.concatenate([[0], agree[1:][::-1]]))[::-1]) if len(order) else best
     matched = np.zeros(n, np.int64)
     matched[order] = best
     of = np.searchsorted(ends, np.arange(n))
