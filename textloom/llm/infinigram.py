@@ -37,7 +37,7 @@ from .common import _power, discard, mix, ranges, word_codes, written
 SHARD_WORDS = 2_000_000
 MU = 1.0
 #: Words of queries that are searched at once; more are searched in several passes over the shards.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 EVERY = 100
 _PART = 1 << 16
 
