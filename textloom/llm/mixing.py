@@ -1,22 +1,20 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact length in tokens. The total is the largest that the target weights allow (no source is used
-up before its share), or the one asked for; a source's budget is its share of it, rounded down. Each length gives the same proportion of its documents first, rounded
-down; then lengths fill up in the order of what rounding took from them, until the rest is at most SLACK; a bounded-knapsack program over the documents left then finds the largest sum that
-fits the rest, exactly. Which documents of a length are taken is decided by a seeded hash: the smallest ones, cut by one threshold for each source
-and length, so that no text is shuffled.
+up before its share), or the one asked for; a source's budget is its share of it, rounded down. Within a source, each length gives the same proportion of its documents first; a bounded-knapsack program over the
+documents left then finds the largest sum that fits the rest. The rest that is left to the program is SLACK tokens at first and grows until the budget is met exactly, or until the program has all of it, so the sum is always the
+largest there is. Which documents of a length are taken is decided by a seeded hash of id and text: the smallest ones, cut by one threshold for each source
+and length, so that no text is shuffled. Thresholds come from counts by intervals of the hash; only the interval that holds the threshold is looked at row by row.
 
 Weights: {source: weight}, normalised. Without them a source weighs its tokens ** TEMPERATURE, which flattens the mixture. Tokens are runs of
-anything but white space unless a tokenizer file is given (Hugging Face JSON, read on every executor).
+anything but white space unless a tokenizer file is given (Hugging Face JSON, read on every executor). Sources are worked on apart from each other, any number of them.
 
 Defined cases: a null source is the source ""; null or empty texts have length 0, take no budget and are all kept, if their source has a weight; sources without a weight are left out, weights for
-sources without documents take no share; rows that repeat are as many documents, and equal hashes at a threshold are told apart by their order in the
-table; an empty table gives an empty one. Extra columns stay and take no part.
+sources without documents take no share; rows that repeat are as many documents: of rows equal in id, text and source as many stay as the budget takes; null ids are told apart by their text; an empty table gives an empty one. Extra columns stay and take no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rank_hash, sized, text_or_empty
+from .common import free_names, rank_hash, sized, text_or_empty, written
 
 TEMPERATURE = 0.7
 SLACK = 20_000
 SEED = 17
-#: Sources times lengths that the driver holds.
-MOST_COUNTS = 5_000_000
+#: Intervals of the hash that documents of one source and length are counted in: 2 to this power.
+INTERVALS = 12
 
 
 def length(text_col: str = "text", tokenizer: str | None = None) -> Column:
@@ -49,25 +47,11 @@ def length(text_col: str = "text", tokenizer: str | None = None) -> Column:
     return tokens(text_or_empty(text_col))
 
 
-def fitted(counts: dict[int, int], budget: int, slack: int = SLACK) -> dict[int, int]:
-    """length -> documents to take, at most counts, of a total of at most budget: exactly the most that the last step can reach."""
-    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
-    total = sum(n * c for n, c in counts.items())
-    if budget >= total:
-        return counts
-    take = {n: c * budget // total for n, c in counts.items()}
-    rest = budget - sum(n * c for n, c in take.items())
-    lost = sorted(counts, key=lambda n: (-(counts[n] * budget % total), -n))
-    for n in lost:
-        if rest - n <= slack:
-            continue
-        if take[n] < counts[n]:
-            take[n] += 1
-            rest -= n
-    # bounded knapsack over what is left: bit j of reach says that j tokens can be made, made[j] by which bundle first
+def closed(counts: dict[int, int], rest: int) -> tuple[int, dict[int, int]]:
+    """Bounded knapsack: the largest sum of at most rest, and what makes it. Bit j of reach says that j tokens can be made, made[j] by which bundle first."""
     bundles = []
     for n in sorted(counts, reverse=True):
-        left, k = min(counts[n] - take[n], rest // n), 1
+        left, k = min(counts[n], rest // n), 1
         while left > 0:
             bundles.append((n, min(k, left)))
             left -= min(k, left)
@@ -79,65 +63,101 @@ def fitted(counts: dict[int, int], budget: int, slack: int = SLACK) -> dict[int,
         if reach[rest]:
             break
         v = n * k
-        if v > rest:
-            continue
-        new = np.flatnonzero(reach[:-v] & ~reach[v:]) + v
+        new = np.flatnonzero(reach[: len(reach) - v] & ~reach[v:]) + v
         reach[new] = True
         made[new] = i
-    j = int(np.flatnonzero(reach)[-1])
+    best = j = int(np.flatnonzero(reach)[-1])
+    take: dict[int, int] = {}
     while j:
         n, k = bundles[made[j]]
-        take[n] += k
+        take[n] = take.get(n, 0) + k
         j -= n * k
-    return {n: c for n, c in take.items() if c}
+    return best, take
 
 
-def budgets(tokens: dict[str, int], weights: dict[str, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> dict[str, int]:
+def fitted(counts: dict[int, int], budget: int, slack: int = SLACK) -> dict[int, int]:
+    """length -> documents to take, at most counts, with the largest total of at most budget."""
+    counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
+    total = sum(n * c for n, c in counts.items())
+    if budget >= total or not counts:
+        return counts
+    unit = int(np.gcd.reduce(np.array(list(counts), np.int64)))
+    counts, budget, total, slack = {n // unit: c for n, c in counts.items()}, budget // unit, total // unit, max(1, slack // unit)
+    while True:
+        share = max(0, budget - slack)
+        take = {n: c * share // total for n, c in counts.items()}
+        rest = budget - sum(n * c for n, c in take.items())
+        if share:
+            for n in sorted(counts, key=lambda n: (-(counts[n] * share % total), -n)):
+                if take[n] < counts[n] and rest - n > slack:
+                    take[n] += 1
+                    rest -= n
+        best, more = closed({n: counts[n] - take[n] for n in counts}, rest)
+        if best == rest or not share:
+            out = {n: take[n] + more.get(n, 0) for n in counts}
+            return {n * unit: c for n, c in out.items() if c}
+        slack *= 4
+
+
+def _planned(pdf: pd.DataFrame) -> pd.DataFrame:
+    """source, tokens, take, all of one source, from its lengths, their counts and its budget (null: it has no weight)."""
+    source, budget = pdf["source"].iloc[0], pdf["budget"].iloc[0]
+    counts = dict(zip(pdf["tokens"].tolist(), pdf["count"].tolist()))
+    take = {} if pd.isna(budget) else {**fitted(counts, int(budget)), **({0: counts[0]} if 0 in counts else {})}
+    rows = [(source, n, c, c == counts[n]) for n, c in take.items()]
+    return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=kind) for i, (k, kind) in enumerate((("source", "object"), ("tokens", "int32"), ("take", "int64"), ("all", "bool")))})
+
+
+def budgets(counts: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """source, budget of the sources that have a weight, from counts(source, tokens, count)."""
+    spark = counts.sparkSession
+    sums = counts.groupBy("source").agg(F.sum(F.col("tokens") * F.col("count")).alias("sum"))
     if weights is None:
-        weights = {s: float(t) ** temperature for s, t in tokens.items()}
-    weights = {s: w for s, w in weights.items() if w > 0 and tokens.get(s, 0) > 0}
-    whole = math.fsum(weights.values())
-    if not weights:
-        return {}
-    most = min(int(tokens[s] * whole / w) for s, w in weights.items())
-    most = most if total is None else total
-    return {s: min(tokens[s], int(most * w / whole)) for s, w in weights.items()}
+        weighed = sums.withColumn("weight", F.when(F.col("sum") > 0, F.pow(F.col("sum").cast("double"), F.lit(temperature))).otherwise(F.lit(1.0)))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "source string, weight double")
+        weighed = sums.join(F.broadcast(given), "source")
+    weighed = written(weighed, "weights")
+    # shares of sources in order of their names, so that sums of floats don't depend on how rows are spread
+    shares = weighed.where("sum > 0").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("source", "weight"))), F.lit(0.0), lambda a, x: a + x.weight).alias("whole"))
+    whole = shares.first().whole
+    if not whole:
+        return weighed.select("source", F.lit(0).cast("bigint").alias("budget"))
+    most = total if total is not None else weighed.where("sum > 0").agg(F.min(F.floor(F.col("sum") * F.lit(whole) / F.col("weight")))).first()[0]
+    return weighed.select("source", F.least("sum", F.floor(F.lit(float(most)) * F.col("weight") / F.lit(whole))).cast("bigint").alias("budget"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, tokenizer: str | None = None, temperature: float = TEMPERATURE, lengths: bool = False) -> DataFrame:
-    """The chosen rows of docs, with their columns as they came; with lengths also __source and __tokens."""
-    tagged = docs.withColumns({"__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__tokens": length(text_col, tokenizer), "__rank": rank_hash(F.col(id_col).cast("string"), seed=seed)})
-    key = ["__source", "__tokens"]
-    narrow = checkpointed(tagged.select(*key, "__rank"))
-    rows = narrow.groupBy(*key).count().limit(MOST_COUNTS + 1).collect()
-    if len(rows) > MOST_COUNTS:
-        raise ValueError(f"more than {MOST_COUNTS} pairs of source and length")
-    by: dict[str, dict[int, int]] = {}
-    for s, n, c in rows:
-        by.setdefault(s, {})[n] = c
-    budget = budgets({s: sum(n * c for n, c in x.items()) for s, x in by.items()}, weights, total, temperature)
-    spark = docs.sparkSession
-    plan = []
-    for s, b in budget.items():
-        take = fitted(by[s], b)
-        plan += [(s, n, c, c == by[s][n]) for n, c in take.items()]
-    plan += [(s, 0, x[0], True) for s, x in by.items() if 0 in x and (s in budget if weights is None else weights.get(s, 0) > 0)]
-    chosen = spark.createDataFrame(pd.DataFrame(plan, columns=[*key, "__take", "__all"]), "__source string, __tokens int, __take bigint, __all boolean")
-    part = sized(chosen.where("not __all").select(*key, "__take"), len(plan))
-    ranked = narrow.join(part, key).withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("__rank")))
-    cuts = ranked.where("__n <= __take").groupBy(*key).agg(F.max("__rank").alias("__cut"), F.max(F.struct("__rank", F.col("__n"))).alias("__last"), F.min("__take").alias("__take"))
-    # of the rows at the threshold itself so many fit: all but those below it
-    below = narrow.join(sized(cuts.select(*key, "__cut"), len(plan)), key).where("__rank < __cut").groupBy(*key).agg(F.count("*").alias("__below"))
-    cuts = cuts.join(below, key, "left").select(*key, "__cut", (F.col("__take") - F.coalesce("__below", F.lit(0))).alias("__ties"))
-    limits = checkpointed(chosen.where("__all").select(*key, F.lit(None).cast("bigint").alias("__cut"), F.lit(0).cast("bigint").alias("__ties")).unionByName(cuts))
-    joined = tagged.join(sized(limits, len(plan)), key)
-    clear = joined.where("__cut is null or __rank < __cut")
-    order = Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())
-    tied = joined.where("__rank = __cut").withColumn("__n", F.row_number().over(order)).where("__n <= __ties").drop("__n")
-    out = clear.unionByName(tied)
-    return out.select(*docs.columns, *(key if lengths else []))
+    """The chosen rows of docs, with their columns as they came; with lengths just id, source and tokens of them."""
+    source, tokens, rank, cut, ties, nth = free_names(docs, "source_", "tokens", "rank", "cut", "ties", "nth")
+    tagged = docs.withColumns({source: F.coalesce(F.col(source_col).cast("string"), F.lit("")), tokens: length(text_col, tokenizer), rank: rank_hash(F.col(id_col).cast("string"), F.col(text_col).cast("string"), seed=seed)})
+    key = ["source", "tokens"]
+    narrow = written(tagged.select(F.col(source).alias("source"), F.col(tokens).alias("tokens"), F.col(rank).alias("rank"), F.shiftrightunsigned(F.col(rank).bitwiseXOR(F.lit(-(2**63))), 64 - INTERVALS).cast("int").alias("interval")), "ranks")
+    counts = written(narrow.groupBy(*key).count(), "lengths")
+    budget = written(budgets(counts, weights, total, temperature), "budgets")
+    plan = written(counts.join(sized(budget, budget.count(), 32), "source", "left").groupBy("source").applyInPandas(_planned, "source string, tokens int, take bigint, all boolean"), "plan")
+    n = plan.count()
+    part = sized(plan.where("not all").select(*key, "take"), n, 32)
+    # the interval in which a length's threshold lies, then the threshold: the hash of the last document taken
+    by_interval = narrow.join(part, key).groupBy(*key, "take", "interval").count()
+    upto = F.sum("count").over(Window.partitionBy(*key).orderBy("interval"))
+    holds = written(by_interval.withColumn("upto", upto).where("upto >= take and upto - count < take").select(*key, "interval", (F.col("take") - F.col("upto") + F.col("count")).alias("left")), "intervals")
+    inside = narrow.join(sized(holds, n, 32), [*key, "interval"]).groupBy(*key, "left", "rank").count()
+    upto = F.sum("count").over(Window.partitionBy(*key).orderBy("rank"))
+    cuts = inside.withColumn("upto", upto).where("upto >= left and upto - count < left").select(*key, F.col("rank").alias("cut"), F.when(F.col("upto") > F.col("left"), F.col("left") - F.col("upto") + F.col("count")).alias("ties"))
+    limits = written(plan.where("all").select(*key, F.lit(None).cast("bigint").alias("cut"), F.lit(None).cast("bigint").alias("ties")).unionByName(cuts), "limits")
+    limits = limits.select(F.col("source").alias(source), F.col("tokens").alias(tokens), F.col("cut").alias(cut), F.col("ties").alias(ties))
+    joined = tagged.join(sized(limits, n, 32), [source, tokens])
+    clear = joined.where(F.col(cut).isNull() | (F.col(rank) < F.col(cut)) | ((F.col(rank) == F.col(cut)) & F.col(ties).isNull()))
+    out = clear.select(*[F.col(c) for c in docs.columns], source, tokens)
+    if limits.where(F.col(ties).isNotNull()).limit(1).count():  # rows that repeat at a threshold: only these are shuffled
+        same = joined.where((F.col(rank) == F.col(cut)) & F.col(ties).isNotNull()).withColumn(nth, F.row_number().over(Window.partitionBy(source, tokens).orderBy(rank)))
+        out = out.unionByName(same.where(F.col(nth) <= F.col(ties)).select(out.columns))
+    if lengths:
+        return out.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(tokens).alias("n_tokens"))
+    return out.select(docs.columns)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, n_tokens of every chosen document."""
-    return mixed(docs, lengths=True, **options).select("doc_id", F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"))
+    return mixed(docs, lengths=True, **options)
