@@ -1,12 +1,12 @@
 """Benchmark decontamination: documents are scanned for the n-grams of test items.
 
 The items' n-grams of normalised words (lower-cased runs of letters, marks and digits) are hashed. While there are at most
-BROADCAST_GRAMS of them, their sorted hashes go to every task and each document's windows are looked up in one scan without a
-shuffle; beyond that, window hashes are joined with them by a shuffle. Each hit is verified word for word. Hits of a document that overlap or touch
-merge to spans.
+BROADCAST_GRAMS of them, they go to every task and each document's windows are looked up in one scan without a
+shuffle. Beyond that a sieve of SIEVE bits, filled from all n-grams and of the same size however many there are, goes to every task, and only windows that pass it are joined, with their words, with the
+n-grams themselves. Each hit is verified word for word either way. Hits of a document that overlap or touch merge to spans.
 
 Defined cases: an item of fewer than N words but at least LEAST words is one n-gram of its own length, a shorter one is no
-evidence and is ignored; null or empty texts have no hits; an n-gram of several items counts for the smallest item_id; rows that
+evidence and is ignored; null or empty texts have no hits; an n-gram of several items counts for the smallest item_id; an item with a null item_id counts like any other, its spans have a null item_id unless another item has the n-gram too; rows that
 repeat are each reported and cleaned alike; without items or documents the result is empty; a row with a null doc_id is scanned as any other.
 Extra columns stay and take no part.
 """
@@ -16,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORDS_SQL, checkpointed, pieces, rolled, row_ids, word_codes, words
+from .common import WORD, WORDS_SQL, checkpointed, free_names, pieces, rolled, row_ids, word_codes, words, written
 
 N = 8
 LEAST = 5
@@ -28,6 +29,8 @@ LEAST = 5
 DROP_SHARE = 0.2
 #: 8 bytes each and the verified words: about 150 MB at most in a task.
 BROADCAST_GRAMS = 1_000_000
+#: Bits of the sieve for more (16 MB).
+SIEVE = 1 << 27
 SPANS = "array<struct<item_id:bigint,first_word:int,last_word:int>>"
 
 
@@ -41,17 +44,18 @@ def item_grams(benchmark: DataFrame, n: int = N, least: int = LEAST) -> DataFram
                 w = words(text)
                 for k in range(max(1, len(w) - n + 1) if len(w) >= least else 0):
                     g = " ".join(w[k : k + n])
-                    found[g] = min(item, found.get(g, item))
+                    known = found.get(g)
+                    found[g] = item if known is None else known if item is None else min(item, known)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(list(found), pa.string()), "n_words": pa.array([g.count(" ") + 1 for g in found], pa.int32()), "item_id": pa.array(list(found.values()), pa.int64())})
 
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(grams, "gram string, n_words int, item_id bigint").groupBy("gram", "n_words").agg(F.min("item_id").alias("item_id"))
 
 
 def _merged(hits: list[tuple[int, int, int]]) -> list[dict]:
     """Spans from (first, last, item) hits: those that overlap or touch merge; a span has the item of its first hit."""
     spans: list[list[int]] = []
-    for first, last, item in sorted(hits):
+    for first, last, item in sorted(hits, key=lambda h: (h[0], h[1], h[2] is not None, h[2] or 0)):
         if spans and first <= spans[-1][1] + 1:
             spans[-1][1] = max(spans[-1][1], last)
         else:
@@ -115,25 +119,78 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def _joined_spans(plain: DataFrame, grams: DataFrame) -> DataFrame:
     """As spans(), by _row_spans()."""
-    numbered = plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    numbered = checkpointed(plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return _row_spans(numbered, grams).select("doc_id", "doc_words", F.explode("spans").alias("s")).select("doc_id", "s.*", "doc_words")
 
 
+def _gram_hashes(texts: pa.Array) -> np.ndarray:
+    """One hash for the words of each row."""
+    codes, at = word_codes(texts)
+    return np.array([rolled(codes[a:b], int(b - a))[0] for a, b in zip(at[:-1], at[1:])], np.uint64)
+
+
+def _sieve(grams: DataFrame) -> np.ndarray:
+    """The bits of all n-grams: parts of 2^15 bytes, joined over all tasks."""
+    size = 1 << 15
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SIEVE, bool)
+        for b in batches:
+            bits[(_gram_hashes(b.column(0)) % np.uint64(SIEVE)).astype(np.int64)] = True
+        packed = np.packbits(bits, bitorder="little").reshape(-1, size)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some.astype(np.int32)), "bits": pa.array([pa.compress(packed[k].tobytes(), "zstd", asbytes=True) for k in some], pa.binary())})
+
+    def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.uint8)
+        for x in pdf["bits"]:
+            total |= np.frombuffer(pa.decompress(x, size, "zstd"), np.uint8)
+        return pd.DataFrame({"part": [key[0]], "bits": [total.tobytes()]})
+
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for r in grams.select("gram").mapInArrow(parts, "part int, bits binary").groupBy("part").applyInPandas(together, "part int, bits binary").collect():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _row_spans(numbered: DataFrame, grams: DataFrame) -> DataFrame:
-    """row, doc_id, doc_words, spans of the rows that have any, from row, doc_id and text, for item sets too large to broadcast: the words' windows are joined with the grams themselves, so nothing is left to verify."""
-    lengths = [r.n_words for r in grams.select("n_words").distinct().collect()]
+    """row, doc_id, doc_words, spans of the rows that have any, from row, doc_id and text, for item sets too large to broadcast: windows that pass the sieve are joined with the grams themselves, so nothing is left to verify."""
+    grams = written(grams, "grams")
+    lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
+    shared = numbered.sparkSession.sparkContext.broadcast(_sieve(grams))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("doc_words", pa.int32()), ("first", pa.int32()), ("gram", pa.string())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, doc, text in zip(*(c.to_pylist() for c in b.columns)):
-                w = words(text)
-                at = [(k, " ".join(w[k : k + n])) for n in lengths for k in range(len(w) - n + 1)]
-                yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(at), pa.int64()), "doc_id": pa.array([doc] * len(at), pa.int64()), "doc_words": pa.array([len(w)] * len(at), pa.int32()), "first": pa.array([k for k, _ in at], pa.int32()), "gram": pa.array([g for _, g in at], pa.string())})
+        bits = shared.value
+        for b in pieces(batches):
+            codes, at = word_codes(b.column(2))
+            rows, found = row_ids(at), []
+            for n in lengths:
+                place = (rolled(codes, n) % np.uint64(SIEVE)).astype(np.int64)
+                may = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
+                may = may[at[rows[may] + 1] - may >= n]
+                found.append(np.stack([rows[may], may - at[rows[may]], np.full(len(may), n)], 1))
+            found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            out = {k: [] for k in schema.names}
+            last, w = -1, []
+            for i, first, n in found.tolist():
+                if i != last:
+                    last, w = i, words(b.column(2)[i].as_py())
+                for k, v in zip(schema.names, (b.column(0)[i].as_py(), b.column(1)[i].as_py(), len(w), first, " ".join(w[first : first + n]))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema)
 
     hits = numbered.mapInArrow(windows, "row bigint, doc_id bigint, doc_words int, first int, gram string").join(grams, "gram")
-    merged = F.udf(lambda hs: [tuple(s.values()) for s in _merged([(h["first"], h["last"], h["item_id"]) for h in hs])], SPANS)
     grouped = hits.groupBy("row", "doc_id", "doc_words").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "item_id")).alias("hits"))
-    return grouped.select("row", "doc_id", "doc_words", merged("hits").alias("spans"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [_merged([(h["first"], h["last"], h["item_id"]) for h in hs]) for hs in b.column(3).to_pylist()]
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, kind)], names=["row", "doc_id", "doc_words", "spans"])
+
+    return grouped.mapInArrow(merged, f"row bigint, doc_id bigint, doc_words int, spans {SPANS}")
 
 
 def cut_words(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -180,9 +237,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         return docs
     if len(rows) > most:
         # the numbers must be the same on both sides of the join
-        numbered = checkpointed(docs.withColumn("__row", F.monotonically_increasing_id()))
-        hit = _row_spans(numbered.select(F.col("__row").alias("row"), F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), grams)
-        joined = numbered.join(hit.select(F.col("row").alias("__row"), F.col("doc_words").alias("__words"), F.col("spans").alias("__spans")), "__row", "left")
+        at, size, cuts = free_names(docs, "row", "doc_words", "spans")
+        numbered = checkpointed(docs.withColumn(at, F.monotonically_increasing_id()))
+        hit = _row_spans(numbered.select(F.col(at).alias("row"), F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), grams)
+        joined = numbered.join(hit.select(F.col("row").alias(at), F.col("doc_words").alias(size), F.col("spans").alias(cuts)), at, "left")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -190,7 +248,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 hits = ((int(i), spans[int(i)].as_py(), count[int(i)].as_py()) for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)))
                 yield _cleaned(b.select(range(b.num_columns - 2)), hits, text_col, drop_share)
 
-        return joined.select(*docs.columns, "__words", "__spans").mapInArrow(cut, docs.schema)
+        return joined.select(*docs.columns, size, cuts).mapInArrow(cut, docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast({r.gram: r.item_id for r in rows})
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +260,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
 
 ORACLE = f"""
-WITH iw AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH iw AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
 gs AS (SELECT array_to_string(w[k:k + {N} - 1], ' ') AS gram, min(item_id) AS item_id
        FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {N} + 1) + 1)) AS k FROM iw WHERE len(w) >= {LEAST}) GROUP BY ALL),
 grams AS (SELECT gram, item_id, len(string_split(gram, ' ')) AS n FROM gs),
