@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_signed, mix, pieces, ranges, row_ids, word_codes
+from .common import WORD, as_signed, free_names, mix, pieces, ranges, row_ids, sized, word_codes, written
 
 GRAM_WORDS = 25
 #: The least words of a repeated run that must be found: over 50.
@@ -240,15 +240,17 @@ def without_lines(text: str, spans: list[tuple[int, int]]) -> str:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the later repeated runs; documents of which no word stays though they had some are dropped; n_chars follows the text."""
-    gone = runs(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first_line", "end_line")).alias("__runs"))
-    tagged = docs.withColumn("__doc", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
-    joined = tagged.join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    key, cuts = free_names(docs, "doc_key", "cut_runs")
+    gone = written(runs(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first_line", "end_line")).alias(cuts)), "runs")
+    n, spans = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(cuts)), F.lit(0))).first()
+    tagged = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+    joined = tagged.join(sized(gone.withColumnRenamed("doc", key), n, 32 * spans / max(1, n)), key, "left").select(*docs.columns, cuts)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, spans = b.schema.names, b.column(b.schema.names.index("__runs"))
+            names, spans = b.schema.names, b.column(b.schema.names.index(cuts))
             hit = np.flatnonzero(pc.is_valid(spans).to_numpy(zero_copy_only=False))
-            keep, columns = np.ones(b.num_rows, bool), {n: b.column(k) for k, n in enumerate(names) if n != "__runs"}
+            keep, columns = np.ones(b.num_rows, bool), {n: b.column(k) for k, n in enumerate(names) if n != cuts}
             if len(hit):
                 texts = columns[text_col].to_pylist()
                 sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
