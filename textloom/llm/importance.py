@@ -88,9 +88,10 @@ def _cut(keys: DataFrame, k: int) -> tuple[float, int] | None:
 def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, seed: int = SEED) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, selected for every row."""
     spark = docs.sparkSession
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("__id"), F.lit(True).alias("__target")).distinct()
-    plain = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("text"))
-    known = plain.join(sized(good, labels.count()), "__id", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.lit(True).alias("target")).distinct()
+    good = written(good, "targets")
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    known = plain.join(sized(good, good.count()), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     bags = {r.bag: np.frombuffer(r.counts, np.int64) for r in known.mapInArrow(_counted, "bag int, counts binary").groupBy("bag").applyInPandas(_summed, "bag int, counts binary").collect()}
     zero = np.zeros(BUCKETS, np.int64)
     shared = spark.sparkContext.broadcast(ratios(bags.get(0, zero), bags.get(1, zero)))
@@ -102,7 +103,7 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             weight = np.bincount(rows, shared.value[x], b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count.astype(np.int64)), pa.array(weight, mask=count == 0)], names=["doc_id", "noise", "tie", "n_grams", "log_weight"])
 
-    drawn = plain.select(F.col("__id").alias("doc_id"), uniform(F.col("__id"), F.when(F.col("__id").isNull(), F.col("text")), seed=seed).alias("noise"), F.shiftrightunsigned(F.xxhash64("__id", "text"), 1).alias("tie"), "text")
+    drawn = plain.select(F.col("id").alias("doc_id"), uniform(F.col("id"), F.when(F.col("id").isNull(), F.col("text")), seed=seed).alias("noise"), F.shiftrightunsigned(F.xxhash64("id", "text"), 1).alias("tie"), "text")
     weights = drawn.mapInArrow(weighed, "doc_id bigint, noise double, tie bigint, n_grams bigint, log_weight double")
     keyed = written(weights.withColumn("key", F.col("log_weight") - F.log(-F.log("noise"))).drop("noise"), "importance")
     valid = keyed.where("key is not null")
