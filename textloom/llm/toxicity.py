@@ -1,13 +1,13 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by logistic models over hashed words (presence); each model also gets the earlier categories' probabilities
-(as log odds). Later models are trained on out-of-fold probabilities of the earlier ones, never on those of a model that saw the row. The categories of a
-labelled row: toxic is its label; the further ones are toxic rows that have a word of the category's list (CATEGORIES, a parameter).
-Models are fitted on the driver on at most MOST_LABELLED labelled rows, chosen by a seeded hash; scoring covers all documents in one scan without a shuffle.
-A document is flagged if the first category's probability reaches the cutoff with the best F1 among the out-of-fold predictions.
-
-Defined cases: null and empty texts have the models' intercepts as features; labels with a null doc_id or label are ignored; several labels of a document are several training rows; rows that repeat are
-scored each, null ids too; without labels of both classes a category's probability is the share of its label (0 without labels), and with no cutoff nothing is flagged. Extra columns stay and take no part.
+Categories are columns of the labels, predicted one after the other by logistic models over hashed words (presence); each model also gets the earlier categories' probabilities
+(as log odds). Later models are trained on out-of-fold probabilities of the earlier ones, never on those of a model that saw the row. CATEGORIES (a parameter) names each category's column and the value
+that means it: junk (quality 0) first, then toxic, whose model so knows how junk-like a text is.
+Models are fitted on the driver on at most MOST_LABELLED labelled documents, those of the smallest seeded hash; scoring covers all documents in one scan without a shuffle.
+A document is flagged if the last category's probability reaches the cutoff with the best F1 among the out-of-fold predictions.
+
+Defined cases: null and empty texts have the models' intercepts as features; labels with a null doc_id are ignored, a null label in a category leaves the row out of that category's fit; several labels of a document are several training rows, of several texts of a
+labelled id the smallest is used; rows that repeat are scored each, null ids too; without labels of both classes a category's probability is 0 or 1, as its labels are (0 without labels), and with no cutoff nothing is flagged. Extra columns stay and take no part.
 """
 
 from __future__ import annotations
@@ -20,20 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_ids, sized, uniform, word_codes
+from .common import pieces, rank_hash, row_ids, sized, word_codes, written
 
 MOST_LABELLED = 20_000
 BITS = 18
-FEATURES = 30_000
 FOLDS = 3
 STEPS = 120
 L2 = 2.0
 SEED = 5
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "toxic": (),
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash", "scum"),
-}
+#: name -> (column of the labels, value)
+CATEGORIES: dict[str, tuple[str, int]] = {"junk": ("quality", 0), "toxic": ("toxic", 1)}
 
 
 def word_buckets(texts: pa.Array, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -65,29 +61,19 @@ def odds(p: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: np.ndarray, buckets: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
-    """Logistic regression with an L2 penalty by Adam over all rows, on the buckets that tell the classes apart most (by the z of their shares)."""
+    """Logistic regression with an L2 penalty by Adam over all rows and all buckets that occur."""
     n, pos = len(y), float(y.sum())
     weights = np.zeros(1 << BITS)
     if pos in (0, n):
-        share = np.clip(pos / n if n else 0.0, 0, 1)
-        return Linear(weights, np.zeros(earlier.shape[1]), 30.0 if share == 1 else -30.0)
-    df = np.bincount(buckets, minlength=1 << BITS)
-    hit = np.bincount(buckets, y[rows], 1 << BITS)
-    expected = df * pos / n
-    z = np.where(df >= 3, np.abs(hit - expected) / np.sqrt(expected * (1 - pos / n) + 0.5), 0)
-    used = np.flatnonzero(z > 0)
-    used = used[np.argsort(-z[used], kind="stable")[:FEATURES]]
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    known = place[buckets] >= 0
-    r, f = rows[known], place[buckets[known]]
+        return Linear(weights, np.zeros(earlier.shape[1]), 30.0 if n and pos == n else -30.0)
+    used, f = np.unique(buckets, return_inverse=True)
     k = len(used) + earlier.shape[1]
     w, b = np.zeros(k), float(np.log(pos / (n - pos)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        margin = np.bincount(r, w[f], n) + earlier @ w[len(used) :] + b
+        margin = np.bincount(rows, w[f], n) + earlier @ w[len(used) :] + b
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        g = np.concatenate([np.bincount(f, error[r], len(used)), error @ earlier]) + L2 * 0.5 * w
+        g = np.concatenate([np.bincount(f, error[rows], len(used)), error @ earlier]) + L2 * 0.5 * w
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -112,65 +98,58 @@ class Chain:
 
 
 def fit_chain(n: int, rows: np.ndarray, buckets: np.ndarray, targets: dict[str, np.ndarray], seed: int = SEED, folds: int = FOLDS) -> Chain:
+    """targets: 1, 0 or nan (not labelled) of each row by category, in the chain's order."""
     fold = np.random.default_rng(seed).integers(0, folds, n)
     held = np.zeros((n, 0))
     models, cutoff = [], 2.0
+
+    def part(inside: np.ndarray, y: np.ndarray) -> Linear:
+        place = np.cumsum(inside) - 1
+        some = inside[rows]
+        return fit(place[rows[some]], buckets[some], odds(held[inside]), y[inside])
+
     for y in targets.values():
-        y = y.astype(float)
-        models.append(fit(rows, buckets, odds(held), y))
-        out = np.zeros(n)
+        known = ~np.isnan(y)
+        models.append(part(known, y))
+        out = models[-1].probability(n, rows, buckets, odds(held))
         for k in range(folds):
-            inside = fold != k
-            place = np.cumsum(inside) - 1
-            some = inside[rows]
-            part = fit(place[rows[some]], buckets[some], odds(held[inside]), y[inside])
-            out[~inside] = part.probability(n, rows, buckets, odds(held))[~inside]
-        if not held.shape[1] and 0 < y.sum() < n:
-            order = np.argsort(-out, kind="stable")
+            outside = known & (fold == k)
+            if outside.any():
+                out[outside] = part(known & (fold != k), y).probability(n, rows, buckets, odds(held))[outside]
+        cutoff, total = 2.0, float(y[known].sum())
+        if 0 < total < known.sum():
+            order = np.flatnonzero(known)[np.argsort(-out[known], kind="stable")]
             right = np.cumsum(y[order])
-            f1 = 2 * right / (np.arange(1, n + 1) + y.sum())
+            f1 = 2 * right / (np.arange(1, len(order) + 1) + total)
             best = int(np.argmax(f1))
             # half way to the next prediction, so that the cutoff doesn't hang on one row
-            cutoff = float((out[order[best]] + (out[order[best + 1]] if best + 1 < n else 0)) / 2)
+            cutoff = float((out[order[best]] + (out[order[best + 1]] if best + 1 < len(order) else 0)) / 2)
         held = np.column_stack([held, out])
     return Chain(list(targets), models, cutoff)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, tuple[str, ...]] | None = None, most: int = MOST_LABELLED, seed: int = SEED) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, tuple[str, int]] | None = None, most: int = MOST_LABELLED, seed: int = SEED) -> Chain:
     categories = categories or CATEGORIES
-    known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("toxic").cast("int").alias("__y")).where("__id is not null and __y is not null")
-    n = known.count()
-    known = known.where(uniform("__id", seed=seed) < min(1.0, most / max(1, n))) if n > most else known
-    known = sized(known, min(n, most))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").select("__id", "__y", "__text")
-    lists, _ = word_codes(pa.array([w for ws in categories.values() for w in ws], pa.string()))
-    names = [c for c, ws in categories.items() for _ in ws]
+    names = [f"y{k}" for k in range(len(categories))]
+    known = labels.select(F.col("doc_id").cast("bigint").alias("id"), *[(F.col(c) == v).cast("int").alias(y) for y, (c, v) in zip(names, categories.values())]).where("id is not null")
+    known = written(known.orderBy(rank_hash("id", seed=seed), "id", *names).limit(most), "labelled")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(sized(known.select("id").distinct(), most), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, buckets = word_buckets(b.column(2))
+        for b in pieces(batches):
+            rows, buckets = word_buckets(b.column(1))
             at = np.searchsorted(rows, np.arange(b.num_rows + 1))
-            codes, word_at = word_codes(b.column(2))
-            of = row_ids(word_at)
-            marks = np.zeros((b.num_rows, len(categories)), bool)
-            for k, c in enumerate(categories):
-                words = lists[[i for i, x in enumerate(names) if x == c]]
-                marks[of[np.isin(codes, words)], k] = True
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([buckets[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(b.num_rows)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], names=["id", "y", "buckets", "marks"]
-            )
-
-    rows = sorted(texts.mapInArrow(featured, "id bigint, y int, buckets binary, marks binary").collect())
-    y = np.array([r.y == 1 for r in rows], bool)
-    marks = np.array([np.frombuffer(r.marks, bool) for r in rows]).reshape(len(rows), len(categories))
-    sets = [np.frombuffer(r.buckets, "<i4") for r in rows]
-    targets = {c: (y & marks[:, k]) if ws else y for k, (c, ws) in enumerate(categories.items())}
-    flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-    return fit_chain(len(rows), np.repeat(np.arange(len(rows)), [len(s) for s in sets]), flat, targets, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([buckets[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(b.num_rows)], pa.binary())], names=["id", "buckets"])
+
+    sets = {r.id: np.frombuffer(r.buckets, "<i4") for r in texts.mapInArrow(featured, "id bigint, buckets binary").collect()}
+    rows = sorted((tuple(r) for r in known.collect() if r.id in sets), key=str)
+    targets = {c: np.array([np.nan if r[k] is None else r[k] for r in rows], float) for k, c in enumerate(categories, 1)}
+    flat = np.concatenate([sets[r[0]] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return fit_chain(len(rows), np.repeat(np.arange(len(rows)), [len(sets[r[0]]) for r in rows]).astype(np.int64), flat, targets, seed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, p_<category> for each category in the chain's order, toxic (the flag), for every row."""
+    """doc_id, p_<category> for each category in the chain's order, toxic (the flag of the last one), for every row."""
     chain = train(docs, labels, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     schema = "doc_id bigint, " + ", ".join(f"p_{c} double" for c in chain.names) + ", toxic boolean"
@@ -180,6 +159,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         used = np.any([m.weights != 0 for m in c.models], axis=0)
         for b in pieces(batches):
             p = c.probabilities(b.num_rows, *word_buckets(b.column(1), used))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.round(x, 6)) for x in p.T), pa.array(p[:, 0] >= c.cutoff)], names=["doc_id", *(f"p_{n}" for n in c.names), "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.round(x, 6)) for x in p.T), pa.array(p[:, -1] >= c.cutoff)], names=["doc_id", *(f"p_{n}" for n in c.names), "toxic"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, schema)
