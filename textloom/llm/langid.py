@@ -1,15 +1,14 @@
 """Language identification with hyperdimensional profiles.
 
-Each of LETTERS symbols (a to z, all else between words, and letters beyond a to z in a few classes by code point) has a random vector of DIMENSIONS signs. A trigram's vector binds (multiplies) its
-letters' vectors, permuted (rotated) by their place; a text's vector bundles (sums) its trigrams' vectors; a language's prototype is the bundle of its documents, scaled
-to length 1. A document goes to the language whose prototype has the largest cosine with it.
+Each letter (any code point that is one; all else between words is one gap) has a random vector of DIMENSIONS signs, made from the seed and its code point. A trigram's vector binds (multiplies) its
+letters' vectors, permuted (rotated) by their place; a text's vector bundles (sums) its trigrams' vectors; a language's prototype is the bundle of its documents.
+A document goes to the language whose prototype has the largest cosine with it; its own part is taken out of its own language's prototype first, so that no document is compared with itself.
 
-Nothing of that size is built per document: a document's dot product with a prototype is the sum of its trigrams' dot products with it, which are one table of trigrams by languages. The document's own length is
-taken from its trigram counts, as random vectors are orthogonal but for noise: sqrt(DIMENSIONS * sum of squared counts), within about 1 / sqrt(DIMENSIONS / 2) of
-the bundle's length. The order of languages doesn't depend on it.
+All sums are exact whole numbers. Prototypes are added up by task, one vector for each language that a task meets: their size doesn't depend on the data. Fewer than 8,000 languages are known; more than MOST_LANGUAGES different
+names are refused with an error, since every task holds all prototypes (16 kB each).
 
 Defined cases: null or empty texts, and those without letters, have no trigram: predicted, cosine and margin are null; rows with a null language take no part in the prototypes but are
-identified; without any prototype all are null; equal cosines go to the alphabetically first language; rows that repeat count as often as they stand there. Extra columns stay and take no part.
+identified; without any prototype all are null; a prototype of which nothing is left, or whose sum is zero, has cosine 0; equal cosines go to the alphabetically first language; rows that repeat count as often as they stand there. Extra columns stay and take no part.
 """
 
 from __future__ import annotations
@@ -23,102 +22,128 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = 32
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 SEED = 11
-MOST_LANGUAGES = 1_000
-SIZE = LETTERS**3
-_SYMBOL = np.zeros(1 << 17, np.uint8)
-for _c in range(len(_SYMBOL)):
-    if 97 <= _c <= 122:
-        _SYMBOL[_c] = _c - 96
-    elif _c > 127 and chr(_c).isalpha():
-        _SYMBOL[_c] = 27 + _c % (LETTERS - 27)
-
-
-def trigrams(text: str) -> np.ndarray:
-    """Numbers of the trigrams of a lower-cased text; runs of other characters are one gap, as are both ends. A trigram of which the middle is a gap spans two words."""
+MOST_LANGUAGES = 10_000
+#: Trigrams of a text whose vectors are made at once.
+_AT_ONCE = 4096
+_LETTER = np.zeros(0x110000, bool)
+for _a, _b in ((0x41, 0x250), (0x250, 0x2000), (0x2C00, 0x2FF0), (0x3040, 0xD800), (0xF900, 0xFE00), (0xFE70, 0x10000), (0x10000, 0x32000)):
+    _LETTER[_a:_b] = [chr(c).isalpha() for c in range(_a, _b)]
+
+
+def letters(text: str) -> np.ndarray:
+    """Code points of a lower-cased text: runs of other characters are one gap (0), as are both ends."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    s = _SYMBOL[np.minimum(points, len(_SYMBOL) - 1)]
+    s = np.where(_LETTER[points], points, 0).astype(np.int64)
+    s = np.concatenate([[0], s, [0]])
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    s = s[keep].astype(np.int32)
-    if not s.any():
-        return np.zeros(0, np.int32)
-    s = np.concatenate([s[:1][s[:1] != 0] * 0, s, s[-1:][s[-1:] != 0] * 0])
-    return (s[:-2] * LETTERS + s[1:-1]) * LETTERS + s[2:]
-
-
-def letter_vectors(seed: int = SEED, dimensions: int = DIMENSIONS) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (LETTERS, dimensions))
-
-
-def trigram_vectors(numbers: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    x, y, z = numbers // LETTERS**2, numbers // LETTERS % LETTERS, numbers % LETTERS
-    return np.roll(letters, 2, axis=1)[x] * np.roll(letters, 1, axis=1)[y] * letters[z]
-
-
-def prototypes(counts: dict[str, np.ndarray], seed: int = SEED, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Languages, and for every trigram its dot product with each prototype."""
-    names = sorted(counts)
-    letters = letter_vectors(seed, dimensions)
-    first, second, third = (np.roll(letters, k, axis=1).astype(np.float32) for k in (2, 1, 0))
-    table = np.zeros((LETTERS, LETTERS, LETTERS, len(names)), np.float32)
-    # by the middle letter: all its trigrams' vectors are products of one matrix of first and one of third letters
-    for k, name in enumerate(names):
-        n = counts[name].reshape(LETTERS, LETTERS, LETTERS)
-        bundle = np.zeros(dimensions)
-        for y in range(LETTERS):
-            if n[:, y].any():
-                bundle += second[y] * (first * (n[:, y].astype(np.float32) @ third)).sum(axis=0)
-        bundle /= max(np.linalg.norm(bundle), 1e-12)
-        for y in range(LETTERS):
-            table[:, y, :, k] = (first * (second[y] * bundle).astype(np.float32)) @ third.T
-    table = table.reshape(SIZE, len(names))
-    return names, table
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
-    for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), pc.utf8_lower(b.column(1))):
-            t = total.setdefault(lang, np.zeros(SIZE, np.int64))
-            t += np.bincount(trigrams(text.as_py() or ""), minlength=SIZE)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
+    return s[keep]
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of a lower-cased text, 21 bits for each letter, and how often each stands there."""
+    s = letters(text)
+    return np.unique((s[:-2] << 42) | (s[1:-1] << 21) | s[2:], return_counts=True) if len(s) > 2 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+class Space:
+    """The letters' vectors, made when first needed, and their rotations."""
+
+    def __init__(self, seed: int = SEED, dimensions: int = DIMENSIONS) -> None:
+        self.seed, self.dimensions = seed, dimensions
+        self.place: dict[int, int] = {}
+        self.rolled = np.zeros((3, 64, dimensions), np.int8)
+
+    def _of(self, points: np.ndarray) -> np.ndarray:
+        different, which = np.unique(points, return_inverse=True)
+        at = []
+        for p in different.tolist():
+            if p not in self.place:
+                k = self.place[p] = len(self.place)
+                if k == self.rolled.shape[1]:
+                    self.rolled = np.concatenate([self.rolled, np.zeros_like(self.rolled)], axis=1)
+                v = np.random.default_rng((self.seed, p)).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
+                for r in range(3):
+                    self.rolled[r, k] = np.roll(v, 2 - r)
+            at.append(self.place[p])
+        return np.array(at, np.int64)[which]
+
+    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        total = np.zeros(self.dimensions)
+        for k in range(0, len(grams), _AT_ONCE):
+            g = grams[k : k + _AT_ONCE]
+            x, y, z = (self._of(p) for p in (g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF))
+            total += counts[k : k + _AT_ONCE].astype(np.float32) @ (self.rolled[0, x] * self.rolled[1, y] * self.rolled[2, z]).astype(np.float32)
+        return np.rint(total)
+
+
+def _counted(seed: int, dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, total = Space(seed, dimensions), {}
+        for b in batches:
+            held: dict[str, list] = {}
+            for lang, text in zip(b.column(0).to_pylist(), pc.utf8_lower(b.column(1))):
+                held.setdefault(lang, []).append(trigrams(text.as_py() or ""))
+            for lang, parts in held.items():
+                grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                counts = np.bincount(which, np.concatenate([c for _, c in parts]), len(grams))
+                # float32 sums of at most 2^24 are whole: larger counts go in digits
+                for digit in range(4):
+                    part = np.floor(counts / 4096**digit) % 4096
+                    some = part > 0
+                    if some.any():
+                        total[lang] = total.get(lang, 0) + space.bundle(grams[some], part[some]) * 4096**digit
+                total.setdefault(lang, np.zeros(dimensions))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())], names=["lang", "bundle"])
+
+    return run
 
 
 def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lang": [key[0]], "counts": [sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()]})
+    return pd.DataFrame({"lang": [key[0]], "bundle": [sum(np.frombuffer(x, np.int64) for x in pdf["bundle"]).tobytes()]})
 
 
-def profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """Prototypes from all rows that name their language: one scan, one row of counts for each task and language."""
+def profile(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = SEED, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes, from all rows that name their language: one scan, one vector for each task and language."""
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    rows = known.mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInPandas(_summed, "lang string, counts binary").limit(MOST_LANGUAGES + 1).collect()
+    rows = known.mapInArrow(_counted(seed, dimensions), "lang string, bundle binary").groupBy("lang").applyInPandas(_summed, "lang string, bundle binary").limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = {r.lang: np.frombuffer(r.counts, np.int64) for r in rows}
-    return prototypes({k: c for k, c in counts.items() if c.any()}, seed)
+    rows = sorted(rows)
+    return [r.lang for r in rows], np.array([np.frombuffer(r.bundle, np.int64) for r in rows], np.float64).reshape(len(rows), dimensions)
+
+
+def cosines(bundle: np.ndarray, prototypes: np.ndarray, squares: np.ndarray, own: int | None) -> np.ndarray:
+    """Of a document with each prototype; its own language's without it."""
+    square = float(bundle @ bundle)
+    dots, norms = prototypes @ bundle, squares.copy()
+    if own is not None:
+        norms[own] += square - 2 * dots[own]
+        dots[own] -= square
+    out = np.zeros(len(dots))
+    some = norms * square > 0
+    out[some] = dots[some] / np.sqrt(norms[some] * square)
+    return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, predicted, cosine, margin (to the next language) for every row: one scan, no shuffle."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = SEED) -> DataFrame:
+    """doc_id, lang, predicted, cosine, margin (to the next language) for every row: one scan, no shuffle. The model has the row if the row names a language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, lang string, predicted string, cosine double, margin double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value
+        names, prototypes = shared.value
+        space, place, squares = Space(seed, prototypes.shape[1]), {n: k for k, n in enumerate(names)}, (prototypes**2).sum(axis=1)
         for b in batches:
             out = []
-            for text in pc.utf8_lower(b.column(2)):
-                t = trigrams(text.as_py() or "")
-                if not len(t) or not names:
+            for lang, text in zip(b.column(1).to_pylist(), pc.utf8_lower(b.column(2))):
+                grams, counts = trigrams(text.as_py() or "")
+                if not len(grams) or not names:
                     out.append((None, None, None))
                     continue
-                count = np.bincount(t, minlength=SIZE)
-                some = np.flatnonzero(count)
-                c = count[some].astype(np.float64)
-                cosine = (c @ table[some]) / np.sqrt(DIMENSIONS * (c @ c))
+                cosine = cosines(space.bundle(grams, counts), prototypes, squares, place.get(lang))
                 best = int(np.argmax(cosine))
                 rest = np.delete(cosine, best)
                 out.append((names[best], round(float(cosine[best]), 6), round(float(cosine[best] - rest.max()), 6) if len(rest) else None))
