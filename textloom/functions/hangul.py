@@ -34,9 +34,11 @@ def has_coda(text: Column) -> Column:
     return _is_syllable(c) & ((point(c) - 0xAC00) % 28 > 0)
 
 
-def particle(noun: Column, after_coda: str, after_vowel: str) -> Column:
-    """noun with the form of a particle that fits its ending."""
-    return F.concat(noun, F.when(has_coda(noun), F.lit(after_coda)).otherwise(F.lit(after_vowel)))
+def particle(noun: Column, after_coda: str, after_vowel: str, vocalic: bool = False) -> Column:
+    """noun with the form of a particle that fits its ending; vocalic: ㄹ counts as a vowel (로, 으로)."""
+    c = F.right(noun, F.lit(1))
+    closed = has_coda(noun) & ((point(c) - 0xAC00) % 28 != 8) if vocalic else has_coda(noun)
+    return F.concat(noun, F.when(closed, F.lit(after_coda)).otherwise(F.lit(after_vowel)))
 
 
 def collapse_space(text: Column) -> Column:
