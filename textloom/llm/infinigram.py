@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,30 +35,36 @@ from pyspark.sql import functions as F
 
 from .common import _power, discard, mix, ranges, word_codes, written
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 1_500_000
 MU = 1.0
 #: Words of queries that are searched at once; more are searched in several passes over the shards.
 BLOCK_WORDS = 500_000
 EVERY = 100
 _PART = 1 << 16
+#: Starts that are searched at a time, so that what is held for them stays small.
+_STARTS = 1 << 17
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
     """Positions of x in the order of their suffixes. x must end in a number that occurs once."""
     n = len(x)
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x, kind="stable").astype(np.int32)
     head = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(head, n))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(head, size)
-    slots, h = np.flatnonzero(np.repeat(size > 1, size)), 1
+    slots, h = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32), 1
     while len(slots):
         at = order[slots]
-        key = rank[at] * n + rank[np.minimum(at + h, n - 1)]
+        key = rank[at].astype(np.int64)
+        key *= n
+        key += rank[np.minimum(at + h, n - 1)]
         o = np.argsort(key, kind="stable")
         at, key = at[o], key[o]
+        del o
         order[slots] = at
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        del key
         size = np.diff(np.append(head, len(at)))
         rank[at] = np.repeat(slots[head], size)
         slots = slots[np.repeat(size > 1, size)]
@@ -65,6 +72,14 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     return order
 
 
+def found(table: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number stands in the ascending table: first place, place behind the last. Equal neighbours are looked up once."""
+    new = np.concatenate([[True], want[1:] != want[:-1]])[: len(want)]
+    back = np.cumsum(new) - 1
+    one = want[new]
+    return np.searchsorted(table, one)[back], np.searchsorted(table, one, side="right")[back]
+
+
 class Run:
     """Words (64-bit hashes) of several documents in a row, each document closed by a mark of its own; hashes of any stretch of them."""
 
@@ -126,6 +141,15 @@ class Shard:
         self.at = np.concatenate([[0], np.cumsum(firsts)])
         self.pairs = self._keys(self.x[self.order], 1)
 
+    @cached_property
+    def nth(self) -> np.ndarray:
+        """The number of each suffix's first two words."""
+        return np.cumsum(np.concatenate([[0], self.pairs[1:] != self.pairs[:-1]]), dtype=np.int32)
+
+    @cached_property
+    def triples(self) -> np.ndarray:
+        return self._keys(self.nth, 2)
+
     def _keys(self, before: np.ndarray, depth: int) -> np.ndarray:
         """One ascending number for each suffix's words up to depth: that of those before it, and the next word."""
         keys = before.astype(np.int64)
@@ -135,6 +159,16 @@ class Shard:
 
     def narrowed(self, q: Run, words: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each start in q the words of its longest prefix, of at most `most`, that the shard has, and that prefix's suffix interval. words: q's words as numbers of this shard, -1 where it lacks them."""
+        depth, low, high = np.zeros((3, len(starts)), np.int32)
+        on = [np.zeros(0, np.int64)]
+        for k in range(0, len(starts), _STARTS):
+            depth[k : k + _STARTS], low[k : k + _STARTS], high[k : k + _STARTS], live = self._short(words, starts[k : k + _STARTS], most[k : k + _STARTS])
+            on.append(live + k)
+        self._long(q, words, starts, most, depth, low, high, np.concatenate(on))
+        return depth, low, high
+
+    def _short(self, words: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As narrowed() for prefixes of up to three words, and which starts go on."""
         n = len(starts)
         depth, low, high = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         live = np.flatnonzero((most > 0) & (words[starts] >= 0))
@@ -143,24 +177,25 @@ class Shard:
         live = live[most[live] > 1]
         live = live[words[starts[live] + 1] >= 0]
         want = words[starts[live]] * self.k + words[starts[live] + 1]
-        a, b = np.searchsorted(self.pairs, want), np.searchsorted(self.pairs, want, side="right")
+        a, b = found(self.pairs, want)
         some = b > a
         live = live[some]
         depth[live], low[live], high[live] = 2, a[some], b[some]
         live = live[most[live] > 2]
         live = live[words[starts[live] + 2] >= 0]
         if len(live):  # most end here: three words are one look-up too
-            nth = np.cumsum(np.concatenate([[0], self.pairs[1:] != self.pairs[:-1]]), dtype=np.int32)
-            triples = self._keys(nth, 2)
-            want = nth[low[live]].astype(np.int64) * self.k + words[starts[live] + 2]
-            a, b = np.searchsorted(triples, want), np.searchsorted(triples, want, side="right")
-            del nth, triples
+            want = self.nth[low[live]].astype(np.int64) * self.k + words[starts[live] + 2]
+            a, b = found(self.triples, want)
             some = b > a
             live = live[some]
             depth[live], low[live], high[live] = 3, a[some], b[some]
             live = live[most[live] > 3]
+        return depth, low, high, live
+
+    def _long(self, q: Run, words: np.ndarray, starts: np.ndarray, most: np.ndarray, depth: np.ndarray, low: np.ndarray, high: np.ndarray, live: np.ndarray) -> None:
+        """Follows the live starts to their ends, in place."""
         while len(live):
-            d, a, b = depth[live], low[live], high[live]
+            d, a, b = depth[live].astype(np.int64), low[live].astype(np.int64), high[live].astype(np.int64)
             want = words[starts[live] + d]
             first, last = self.order[a].astype(np.int64), self.order[b - 1].astype(np.int64)
             whole = (self.x[first + d] == want) & (self.x[last + d] == want)
@@ -182,7 +217,6 @@ class Shard:
                 part[np.flatnonzero(part)[~some]] = False
             live = live[whole | part]
             live = live[depth[live] < most[live]]
-        return depth, low, high
 
     def _bound(self, a: np.ndarray, b: np.ndarray, d: np.ndarray, want: np.ndarray, side: int) -> np.ndarray:
         """Binary search: the first suffix of each interval whose word at depth d isn't below want (side 0), or is above it (side 1)."""
@@ -204,7 +238,7 @@ def indexed(codes: np.ndarray, ends: np.ndarray) -> Shard:
     vocabulary, number = np.unique(codes[~is_mark], return_inverse=True)
     x = np.empty(len(codes), np.int64)
     x[is_mark], x[~is_mark] = np.arange(len(ends)), number + len(ends)
-    return opened(x.astype(np.int32), ends, vocabulary, suffix_array(x).astype(np.int32))
+    return opened(x.astype(np.int32), ends, vocabulary, suffix_array(x))
 
 
 def opened(x: np.ndarray, ends: np.ndarray, vocabulary: np.ndarray, order: np.ndarray) -> Shard:
@@ -278,8 +312,8 @@ def longest(shard: Shard, keys: np.ndarray, q: Run, block: Block) -> np.ndarray:
     depth, low, _ = shard.narrowed(q, numbers(shard, block.different, block.which), start, most)
     # starts with one and the same match need to be named once
     new = np.zeros(len(start), bool)
-    new[np.unique(low * (1 << 32) + depth, return_index=True)[1]] = True
-    out = np.where(new, depth, 0)
+    new[np.unique((low.astype(np.int64) << 32) + depth, return_index=True)[1]] = True
+    out = np.where(new, depth, 0).astype(np.int64)
     if block.keys is not None and len(block.keys):
         own = np.searchsorted(block.keys, keys)
         own[own == len(block.keys)] = 0
@@ -403,7 +437,7 @@ def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool
         run, counts = Run(codes, ends), np.zeros(len(nodes), np.int64)
         for shard, _ in _shards(batches):
             depth, low, high = shard.narrowed(run, numbers(shard, different, which), nodes, lengths)
-            counts += np.where(depth == lengths, high - low, 0)
+            counts += np.where(depth == lengths, high - low, 0).astype(np.int64)
         yield _packed(counts)
 
     counts = _gathered(index, counting, len(nodes), True)[place[back]]
@@ -412,7 +446,7 @@ def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool
     rest = total - (n_own if leave_out else 0 * n_own)
     if leave_out:  # what the query's own rows hold, from the queries' suffix array
         _, low, high = own.narrowed(q, numbers(own, different, which), nodes, lengths)
-        low, high = low[place[back]], high[place[back]]
+        low, high = low[place[back]].astype(np.int64), high[place[back]].astype(np.int64)
         by_doc = np.sort(np.searchsorted(ends, own.order) * (len(own.order) + 1) + np.arange(len(own.order)))
         mine = of[start] * (len(own.order) + 1)
         counts = counts - (np.searchsorted(by_doc, mine + high) - np.searchsorted(by_doc, mine + low)) * np.array([r.copies for r in rows], np.int64)[of[start]]
