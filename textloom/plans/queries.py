@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars, hangul, patterns
-from ..operators import similarity, stats
+from ..operators import analyzer, combiner, evaluation, similarity, stats, subword, typos
+from ..sources import lexicon
+from ..streaming import analysis as streams
 
 #: Single kinds of addresses in expressions that RE2 has too.
 URL = r"https?://[-a-zA-Z0-9@:%._+~#=][-a-zA-Z0-9@:%._+~#=]*\.[A-Za-z]{2,}(?::[0-9]+)?(?:/[-a-zA-Z0-9()@:%_+.~#!?&/=]*)?"
@@ -335,3 +337,116 @@ def vector_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = e.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s.x).alias("mean"))
     return e.join(F.broadcast(mean), "label").select("vec_id", "label", F.round(similarity.cosine(F.col("embedding"), F.col("mean")), 5).alias("similarity"))
+
+
+# --- morphemes: literal rows, since no table holds Hangul
+
+
+def _expected(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM {_values(rows, names)}"
+
+
+READINGS = [
+    ("나는 학교에 갔다.", "나/NP 는/JX 학교/NNG 에/JKB 가/VV 었/EP 다/EF ./SF"), ("사람이 밥을 먹었다", "사람/NNG 이/JKS 밥/NNG 을/JKO 먹/VV 었/EP 다/EF"), ("친구가 책을 읽습니다.", "친구/NNG 가/JKS 책/NNG 을/JKO 읽/VV 습니다/EF ./SF"),
+    ("날씨가 아름다워요", "날씨/NNG 가/JKS 아름답/VA-I 어요/EF"), ("물을 마셔요", "물/NNG 을/JKO 마시/VV 어요/EF"), ("나무를 봤다", "나무/NNG 를/JKO 보/VV 었/EP 다/EF"), ("뷁뷁이 좋다", "뷁뷁/NNG 이/JKS 좋/VA 다/EF"), ("010-1234-5678", "010-1234-5678/W_SERIAL"),
+]
+
+
+def _readings(spark: SparkSession) -> DataFrame:
+    return analyzer.analyze(_rows(spark, [(t,) for t, _ in READINGS], "text string"), "text", "text")
+
+
+def _written(tokens: str) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: F.concat(t.form, F.lit("/"), t.tag)), " ")
+
+
+@query(_expected(READINGS, "text, reading"))
+def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best reading of each text."""
+    return _readings(spark).select(F.col("id").alias("text"), _written("tokens").alias("reading"))
+
+
+@query()
+def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: tokens by tag of each (symbols, letters, numbers, patterns, sentences)."""
+    d = _docs(spark, sf_dir)
+    return analyzer.analyze(d, "doc_id", "text").select("id", F.size("tokens").alias("n_tokens"), (F.coalesce(F.array_max(F.transform("tokens", lambda t: t.sent_position)), F.lit(-1)) + 1).alias("n_sentences"))
+
+
+SPLIT = [("나는 갔다. 너는 왔다.", 0, 0, 6), ("나는 갔다. 너는 왔다.", 1, 7, 13), ("밥을 먹었다", 0, 0, 6)]
+
+
+@query(_expected(SPLIT, 'id, sent_position, "begin", "end"'))
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzer.sentences(analyzer.analyze(_rows(spark, [(t,) for t in dict.fromkeys(s[0] for s in SPLIT)], "text string"), "text", "text"))
+
+
+JOINED = [("공부했다", "공부하/VV 었/EP 다/EF"), ("사람들이", "사람들/NNG 이/JKS")]
+
+
+@query(_expected(JOINED, "text, reading"))
+def affix_joining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = analyzer.Options(match=patterns.Match.ALL | patterns.Match.JOIN_AFFIX)
+    return analyzer.analyze(_rows(spark, [(t,) for t, _ in JOINED], "text string"), "text", "text", options=options).select(F.col("id").alias("text"), _written("tokens").alias("reading"))
+
+
+COMBINED = [("하", "VV", "었", "EP", "했"), ("이르", "VV", "어", "EC", "일러"), ("이르", "VV-I", "어", "EC", "이르러"), ("돕", "VV", "어", "EC", "도와"), ("묻", "VV-I", "어", "EC", "물어"), ("묻", "VV", "어", "EC", "묻어"), ("나", "NP", "가", "JKS", "내가"), ("배우", "VV", "었", "EP", "배웠"), ("하얗", "VA-I", "어", "EC", "하얘"), ("먹", "VV", "면", "EC", "먹으면"), ("바닥", "NNG", "가", "JKS", "바닥이")]
+
+
+@query(_expected(COMBINED, "l, lt, r, rt, written"))
+def morpheme_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _rows(spark, [x[:4] for x in COMBINED], "l string, lt string, r string, rt string")
+    return c.withColumn("written", combiner.combined(F.col("l"), F.col("lt"), F.col("r"), F.col("rt")))
+
+
+@query(_expected([(t,) for t, _ in READINGS], "text"))
+def analyze_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts put together again from their morphemes; sentences of one word after another come back as they were."""
+    return _readings(spark).select(combiner.join_tokens(F.transform("tokens", lambda t: F.struct(t.form.alias("form"), t.tag.alias("tag")))).alias("text"))
+
+
+VARIANTS = [("개가납네", "개가납네", 0.0), ("개가납네", "게가납네", 1.0), ("개가납네", "개가납내", 1.0), ("개가납네", "게가납내", 2.0), ("사에", "사에", 0.0), ("사에", "사레", 1.0), ("사에", "사애", 1.0), ("%없어", "%없어", 0.0)]
+
+
+@query("SELECT id, variant, CAST(cost AS DOUBLE) AS cost FROM (" + _expected(VARIANTS, "id, variant, cost") + ")")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = typos.TypoSet().add("ㅐ", "ㅔ").add("ㅔ", "ㅐ").add("사에", "사레")
+    return typos.typo_variants(_rows(spark, [(t,) for t in dict.fromkeys(v[0] for v in VARIANTS)], "t string"), "t", "t", rules, 2)
+
+
+@query("SELECT item_id AS id, text FROM benchmark")
+def subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as subword ids and back: a vocabulary of the ASCII letters and bytes."""
+    letters = [chr(c) for c in range(33, 127)]
+    s = subword.Subword(subword.with_bytes([*[(c, None, "word", -5.0) for c in letters], *[(c, None, "piece", -5.0) for c in letters]]))
+    return subword.decode(subword.encode(_table(spark, sf_dir, "benchmark"), "item_id", "text", s), "id", "ids", s)
+
+
+@query("SELECT * FROM (VALUES (0.8::DOUBLE, 0.8::DOUBLE, 2::BIGINT)) AS v(micro, macro, rows)")
+def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token = "array<struct<form:string,tag:string>>"
+    row = [("밥", "NNG"), ("을", "JKO"), ("먹", "VV"), ("았", "EP"), ("다", "EF")], [("밥", "NNG"), ("를", "JKO"), ("먹", "VV"), ("었", "EP")]
+    return evaluation.summary(evaluation.morph_scores(_rows(spark, [(1, *row), (2, *row)], f"id int, g {token}, f {token}"), "id", "g", "f"))
+
+
+@query("SELECT surface, tag, count(*) AS n FROM (SELECT unnest(surfaces) AS surface, tag FROM (VALUES (['학교', '책'], 'NNG'), (['을', '를'], 'JKO'), (['을'], 'ETM')) AS v(surfaces, tag)) GROUP BY surface, tag")
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact look-up of forms: a join with the lexicon."""
+    asked = _rows(spark, [("학교",), ("책",), ("을",), ("를",), ("없는말",)], "surface string")
+    entries = lexicon.starter(spark).where("size(analysis) = 1").select("surface", F.col("analysis")[0].tag.alias("tag"))
+    return asked.join(F.broadcast(entries), "surface").groupBy("surface", "tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id AS id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(w)) AS BIGINT) AS covered FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^ \\t\\r\\n\\f]+')) AS w FROM benchmark) JOIN (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\r\\n\\f]+')) AS word FROM conversations)) ON w = word GROUP BY item_id")
+def vocabulary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each benchmark item that the conversations have."""
+    known = _table(spark, sf_dir, "conversations").select(F.explode(stats.tokens(F.col("text"))).alias("word")).distinct()
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.explode(stats.tokens(F.col("text"))).alias("word"))
+    return asked.join(known, "word", "left_semi").groupBy("id").agg(F.count("*").alias("n"), F.sum(F.length("word")).cast("bigint").alias("covered"))
+
+
+@query("""SELECT CAST(epoch(time_bucket(INTERVAL '10 minutes', ts)) AS BIGINT) AS "begin", event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming counts over the whole events table."""
+    w = streams.windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return w.select(F.unix_timestamp("begin").alias("begin"), "key", "n", F.round("total", 4).alias("total"))
