@@ -1,4 +1,8 @@
-"""Documents to a training mixture: each stage is one operator over all that the one before it kept."""
+"""Documents to a training mixture: each stage is one operator over all that the one before it kept, written to the shared folder and read again, so that a lost executor costs one stage at most.
+
+Defined cases, as the operators' own docstrings say: null and blank texts go with the quality rules; rows with a null doc_id are documents like others, told apart by their text; rows that repeat an id and text are one document to
+line dedup and near duplicates, which keep one of them; ties are broken by doc_id, then by hashes of the text; empty tables give empty results; extra columns come through as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, lines, mixing, near, quality
-from textloom.llm.common import shared_dir, table
+from textloom.llm.common import discard, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +43,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", source_mixing),
 ]
 
-#: Knapsack, winnowing and components aren't SQL: tests/llm holds run() against brute force.
+#: Knapsack, winnowing and components aren't SQL: tests/llm/test_pipeline.py holds every stage, and run() as a whole, against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
