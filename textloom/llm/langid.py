@@ -5,7 +5,7 @@ letters' vectors, permuted (rotated) by their place; a text's vector bundles (su
 A document goes to the language whose prototype has the largest cosine with it; its own part is taken out of its own language's prototype first, so that no document is compared with itself.
 
 All sums are exact whole numbers. Prototypes are added up by task, one vector for each language that a task meets: their size doesn't depend on the data. Fewer than 8,000 languages are known; more than MOST_LANGUAGES different
-names are refused with an error, since every task holds all prototypes (16 kB each).
+names are refused with an error, since every task holds all prototypes (8 kB each).
 
 Defined cases: null or empty texts, and those without letters, have no trigram: predicted, cosine and margin are null; rows with a null language take no part in the prototypes but are
 identified; without any prototype all are null; a prototype of which nothing is left, or whose sum is zero, has cosine 0; equal cosines go to the alphabetically first language; rows that repeat count as often as they stand there. Extra columns stay and take no part.
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = 2048
+DIMENSIONS = 1024
 SEED = 11
 MOST_LANGUAGES = 10_000
 #: Trigrams of a text whose vectors are made at once.
