@@ -179,6 +179,18 @@ def dialect_allowed(dialect: str, mask: str) -> str:
     return f"({dialect} = 0 OR ({dialect} & {mask}) <> 0)"
 
 
+def byte_offset(text: str, place: str, duckdb: bool = False) -> str:
+    """The UTF-8 offset of a place in code points."""
+    return f"strlen(left({text}, {place}))" if duckdb else f"octet_length(left({text}, {place}))"
+
+
+def utf16_offset(text: str, place: str, duckdb: bool = False) -> str:
+    """The UTF-16 offset of a place in code points: characters beyond the basic plane count twice."""
+    if duckdb:
+        return f"({place} + len(regexp_extract_all(left({text}, {place}), '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+    return f"CAST(octet_length(encode(left({text}, {place}), 'UTF-16BE')) / 2 AS BIGINT)"
+
+
 # --- the same for Columns, where state runs along a text
 
 
@@ -236,3 +248,9 @@ def normalize_coda(text: Column) -> Column:
 def repeated(text: Column) -> Column:
     """Whether a text of 5 characters or more is three or more times the same part."""
     return (F.length(text) >= 5) & F.rlike(text, F.lit(r"(?s)^(.+?)\1\1+$"))
+
+
+def split_escaped(text: Column, delimiter: str) -> Column:
+    """Parts between delimiters; a doubled one is the character itself."""
+    mark = "\ue000"
+    return F.transform(F.split(F.replace(text, F.lit(delimiter * 2), F.lit(mark)), "[" + delimiter.replace("\\", "\\\\") + "]"), lambda p: F.replace(p, F.lit(mark), F.lit(delimiter)))

@@ -156,6 +156,41 @@ def kn_scores(docs: DataFrame, id_col: str, text_col: str, model: tuple[DataFram
     return known.groupBy("id").agg(F.sum("n").alias("n_pairs"), F.sum(score * F.col("n")).alias("log_prob"))
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with number, from 0 in the given order. Meant for vocabularies: the order is total, so one task numbers the rows."""
+    return df.withColumn("number", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def contexts(pairs: DataFrame) -> DataFrame:
+    """x, n, kinds, entropy of token_pairs(): how often each word has one behind it, how many different ones, and how evenly."""
+    return pairs.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), (F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("entropy"))
+
+
+def pruned(candidates: DataFrame, share: float = 0.9, longest: int = 10) -> DataFrame:
+    """Candidates (form, n, ...) without those that nearly always stand within a longer candidate: `share` of their places are its beginning or end."""
+    longer = candidates.select(F.col("form").alias("long"), F.col("n").alias("n_long"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("form") - 1, F.lit(longest))), lambda k: F.array(F.left("form", k), F.right("form", k)))))).alias("form"))
+    most = longer.groupBy("form").agg(F.max("n_long").alias("n_long"))
+    return candidates.join(most, "form", "left").where(F.coalesce(F.col("n_long") < F.col("n") * share, F.lit(True))).drop("n_long")
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, size: int = 4) -> DataFrame:
+    """id, target, context: each word of a text with up to `size` words before it."""
+    w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)
+    each = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.struct(F.element_at("w", k).alias("target"), F.slice("w", F.greatest(k - size, F.lit(1)), F.least(k - 1, F.lit(size))).alias("context")))
+    return w.select("id", F.explode(each).alias("x")).select("id", "x.*")
+
+
+def weighted_sample(df: DataFrame, key: list[str], weight_col: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows without replacement in proportion to their weights: those of the largest -ln(u) / w turned round, with u from a seeded hash of the key. Rows without a positive weight are never drawn."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 12).cast("double") + 0.5) / float(2**52)
+    return df.where(F.col(weight_col) > 0).withColumn("draw", -F.log(u) / F.col(weight_col)).orderBy("draw", *key).limit(n).drop("draw")
+
+
+def chr_ids(text: Column, vocabulary: str) -> Column:
+    """array<int>: the number of each character in the vocabulary, from 1; 0 for others."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(vocabulary)))
+
+
 #: Ends of lines: CR and LF together are one.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 

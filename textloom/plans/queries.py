@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chars, hangul, patterns
-from ..operators import analyzer, combiner, evaluation, similarity, stats, subword, typos
+from ..operators import analyzer, combiner, evaluation, intervals, similarity, stats, subword, typos
 from ..sources import lexicon
 from ..streaming import analysis as streams
 
@@ -450,3 +450,65 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming counts over the whole events table."""
     w = streams.windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type", "value")
     return w.select(F.unix_timestamp("begin").alias("begin"), "key", "n", F.round("total", 4).alias("total"))
+
+
+# --- intervals, contexts, samples
+
+
+@query("SELECT page_id, \"begin\", \"end\", outer_begin, outer_end FROM (SELECT page_id, k AS \"begin\", k + 2 AS \"end\" FROM (SELECT page_id, unnest(range(0, 20, 3)) AS k FROM pages)) JOIN (SELECT page_id, page_id % 7 AS outer_begin, page_id % 7 + 9 AS outer_end FROM pages) USING (page_id) WHERE outer_begin <= \"begin\" AND \"end\" <= outer_end")
+def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages").select("page_id")
+    inner = p.select("page_id", F.explode(F.sequence(*(F.lit(k).cast("bigint") for k in (0, 18, 3)))).alias("begin")).withColumn("end", F.col("begin") + 2)
+    outer = p.select("page_id", (F.col("page_id") % 7).alias("begin"), (F.col("page_id") % 7 + 9).alias("end"))
+    return intervals.contained(inner, outer, "page_id")
+
+
+@query("SELECT user_id, \"begin\", \"end\" FROM (SELECT *, max(\"end\") OVER (PARTITION BY user_id ORDER BY \"begin\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS \"begin\", CAST(floor(epoch(ts)) AS BIGINT) + 600 AS \"end\" FROM events)) WHERE \"begin\" < reach")
+def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events less than ten minutes after an earlier one of the same user."""
+    e = _table(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("begin")).withColumn("end", F.col("begin") + 600)
+    return intervals.overlapping(e, "user_id")
+
+
+LATTICE = [("a", 0, 2), ("b", 0, 1), ("c", 2, 4), ("d", 3, 4), ("e", 4, 5)]
+
+
+@query(_expected([("x", n, b, e) for n, b, e in LATTICE if n in "ace"], 'id, node, "begin", "end"'))
+def lattice_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on a way through the lattice."""
+    nodes = _rows(spark, [("x", *n) for n in LATTICE], "id string, node string, begin int, end int")
+    return intervals.useful(nodes, _rows(spark, [("x", 5)], "id string, size int"), "id")
+
+
+@query(f"SELECT x, CAST(sum(n) AS BIGINT) AS n, count(*) AS kinds, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 5) + 0.0 AS entropy FROM {_XY} GROUP BY x")
+def context_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.contexts(_pairs(spark, sf_dir)).withColumn("entropy", F.round("entropy", 5) + F.lit(0.0))
+
+
+@query(f"SELECT item_id AS id, w[k] AS target, array_to_string(w[greatest(k - 4, 1):k - 1], ' ') AS context FROM (SELECT item_id, w, unnest(range(2, len(w) + 1)) AS k FROM (SELECT item_id, regexp_extract_all(text, '{WORD}') AS w FROM benchmark))")
+def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.windows(_table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("context", F.array_join("context", " "))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,"
+
+
+@query(f"SELECT item_id, array_to_string(list_transform(string_split(left(text, 100), ''), lambda c: CAST(instr('{_LETTERS}', c) AS VARCHAR)), ',') AS ids FROM benchmark")
+def character_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(stats.chr_ids(F.left("text", F.lit(100)), _LETTERS), lambda x: x.cast("string")), ",").alias("ids"))
+
+
+OFFSETS = [("a한😀b", k) for k in range(5)]
+
+
+@query(f"SELECT t, k, {chars.byte_offset('t', 'k', True)} AS bytes, {chars.utf16_offset('t', 'k', True)} AS units FROM {_values(OFFSETS, 't, k')}")
+def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, OFFSETS, "t string, k int").select("t", "k", F.expr(chars.byte_offset("t", "k")).cast("bigint").alias("bytes"), F.expr(chars.utf16_offset("t", "k")).cast("bigint").alias("units"))
+
+
+PARTS = [("a,b,,c", "a|b,c"), ("", ""), (",", "|")]
+
+
+@query(_expected(PARTS, "t, parts"))
+def escaped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, [(t,) for t, _ in PARTS], "t string").select("t", F.array_join(chars.split_escaped(F.col("t"), ","), "|").alias("parts"))
