@@ -173,6 +173,24 @@ def pruned(candidates: DataFrame, share: float = 0.9, longest: int = 10) -> Data
     return candidates.join(most, "form", "left").where(F.coalesce(F.col("n_long") < F.col("n") * share, F.lit(True))).drop("n_long")
 
 
+def skip_pairs(docs: DataFrame, text_col: str, window: int = 8, least: int = 5) -> DataFrame:
+    """x, y, n, pmi: words with y up to `window` words behind x, at least `least` times, and their pointwise mutual information. Pairs are counted within their row first."""
+    w = docs.select(tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda a: F.transform(F.slice("w", a + 1, F.least(F.lit(window), F.size("w") - a)), lambda y: F.struct(F.element_at("w", a).alias("x"), y.alias("y")))))
+    counted = w.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
+    left, right = counted.groupBy("x").agg(F.sum("n").alias("nx")), counted.groupBy("y").agg(F.sum("n").alias("ny"))
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.where(F.col("n") >= least).join(left, "x").join(right, "y").crossJoin(F.broadcast(total)).select("x", "y", "n", F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny"))).alias("pmi"))
+
+
+def context_ids(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, longest: int = 3) -> DataFrame:
+    """id, place, context_id: for each word (place from 0) the longest run of words up to and with it that known(gram, context_id) has; null without any."""
+    w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    ends = w.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct((k - 1).alias("place"), F.transform(F.sequence(F.lit(1), F.least(k, F.lit(longest))), lambda m: F.array_join(F.slice("w", k - m + 1, m), " ")).alias("grams")))).alias("e"))
+    each = ends.select("id", "e.place", F.posexplode("e.grams").alias("m", "gram")).join(known.select("gram", "context_id"), "gram", "left")
+    return each.groupBy("id", "place").agg(F.max_by("context_id", F.when(F.col("context_id").isNotNull(), F.col("m"))).alias("context_id"))
+
+
 def windows(docs: DataFrame, id_col: str, text_col: str, size: int = 4) -> DataFrame:
     """id, target, context: each word of a text with up to `size` words before it."""
     w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)

@@ -512,3 +512,18 @@ PARTS = [("a,b,,c", "a|b,c"), ("", ""), (",", "|")]
 @query(_expected(PARTS, "t, parts"))
 def escaped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(t,) for t, _ in PARTS], "t string").select("t", F.array_join(chars.split_escaped(F.col("t"), ","), "|").alias("parts"))
+
+
+@query(f"""WITH w AS (SELECT regexp_extract_all(text, '{WORD}') AS w FROM benchmark), a AS (SELECT w, unnest(range(1, len(w))) AS a FROM w), p AS (SELECT w[a] AS x, w[a + d] AS y FROM (SELECT w, a, unnest(range(1, least(8, len(w) - a) + 1)) AS d FROM a)),
+    c AS MATERIALIZED (SELECT x, y, count(*) AS n FROM p GROUP BY x, y), l AS (SELECT x, sum(n) AS nx FROM c GROUP BY x), r AS (SELECT y, sum(n) AS ny FROM c GROUP BY y), t AS (SELECT sum(n) AS t FROM c)
+    SELECT c.x, c.y, n, round(ln(n * t / CAST(nx * ny AS DOUBLE)), 5) + 0.0 AS pmi FROM c, l, r, t WHERE n >= 2 AND l.x = c.x AND r.y = c.y""")
+def skip_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.skip_pairs(_table(spark, sf_dir, "benchmark"), "text", least=2).withColumn("pmi", F.round("pmi", 5) + F.lit(0.0))
+
+
+@query(f"""WITH g AS MATERIALIZED (SELECT gram, row_number() OVER (ORDER BY gram) AS context_id FROM (SELECT array_to_string(w[a:a + k - 1], ' ') AS gram FROM (SELECT w, a, unnest(range(1, least(len(w) - a + 1, 3) + 1)) AS k FROM (SELECT w, unnest(range(1, len(w) + 1)) AS a FROM (SELECT regexp_extract_all(text, '{WORD}') AS w FROM conversations))) GROUP BY gram HAVING count(*) >= 5)),
+    e AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT item_id, regexp_extract_all(text, '{WORD}') AS w FROM benchmark)), m AS (SELECT item_id, k, unnest(range(1, least(k, 3) + 1)) AS m, w FROM e)
+    SELECT item_id AS id, CAST(k - 1 AS INT) AS place, arg_max(context_id, m) FILTER (context_id IS NOT NULL) AS context_id FROM (SELECT item_id, k, m, context_id FROM m LEFT JOIN g ON g.gram = array_to_string(w[k - m + 1:k], ' ')) GROUP BY item_id, k""")
+def longest_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = stats.numbered(stats.prefix_counts(_table(spark, sf_dir, "conversations"), "text"), F.asc("gram")).select("gram", (F.col("number") + 1).cast("bigint").alias("context_id"))
+    return stats.context_ids(_table(spark, sf_dir, "benchmark"), "item_id", "text", known)
