@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power, discard, mix, ranges, word_codes, written
+from .common import _power, discard, mix, pieces, word_codes, written
 
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_250_000
 MU = 1.0
 #: Words of queries that are searched at once; more are searched in several passes over the shards.
 BLOCK_WORDS = 500_000
@@ -265,15 +265,16 @@ def _indexing(shard_words: int):
 
         def shard() -> pa.RecordBatch:
             codes, ends = joined(docs)
+            docs.clear()
             s = indexed(codes, ends)
             held_ = {"numbers": s.x.astype("<i4"), "ends": ends.astype("<i8"), "keys": np.array(keys, np.int64), "vocabulary": s.vocabulary, "suffixes": s.order.astype("<i4")}
-            return pa.RecordBatch.from_pydict({"n": [held], **{k: [v.tobytes()] for k, v in held_.items()}}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in held_)]))
+            return pa.RecordBatch.from_pydict({"n": [held], **{k: [_squeezed(v)] for k, v in held_.items()}}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in held_)]))
 
-        for b in batches:
+        for b in pieces(batches):
             words, at = word_codes(b.column(1))
             for i, key in enumerate(b.column(0).to_pylist()):
                 if at[i + 1] > at[i]:
-                    docs.append(words[at[i] : at[i + 1]])
+                    docs.append(words[at[i] : at[i + 1]].copy())
                     keys.append(key)
                     held += len(docs[-1])
                 if held >= shard_words:
@@ -285,10 +286,22 @@ def _indexing(shard_words: int):
     return run
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """An array as compressed bytes behind its size: rows stay small outside Python."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(value: pa.Scalar, kind: str) -> np.ndarray:
+    held = value.as_buffer()
+    size = int.from_bytes(held[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(held[8:], size, "zstd"), kind)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray]]:
     for b in batches:
         for k in range(b.num_rows):
-            x, ends, keys, vocabulary, order = (np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in enumerate(("<i4", "<i8", "<i8", "<u8", "<i4"), 1))
+            x, ends, keys, vocabulary, order = (_opened(b.column(c)[k], kind) for c, kind in enumerate(("<i4", "<i8", "<i8", "<u8", "<i4"), 1))
             yield opened(x, ends, vocabulary, order), keys
 
 
