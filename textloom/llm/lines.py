@@ -203,10 +203,25 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, doc (hash of id and text), first_line, end_line, source_doc_id (of the fingerprint's first occurrence): each match of a fingerprint with the earlier ones, extended."""
+    """doc_id, doc (hash of id and text), first_line, end_line, source_doc_id (of the fingerprint's first occurrence): each match of a fingerprint with the earlier ones, extended.
+
+    Occurrences with the same lines on both sides are one variant. Of each variant only the first document goes through _matched(), one fingerprint after the other; in every later document the variant's lines are
+    all there before, so it extends as far as they are carried, which a join tells (split by Spark where one variant is a third of all rows). Variants, not documents, are what one task sees of a fingerprint."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    posts = plain.mapInArrow(_postings, SCHEMA)
-    return posts.repartition("fp").sortWithinPartitions("fp", "doc_id", "doc", "at").mapInArrow(_matched, "doc_id bigint, doc bigint, first_line int, end_line int, source_doc_id bigint")
+    posts = written(plain.mapInArrow(_postings, SCHEMA), "postings")
+    variant = F.xxhash64("fp", "before", "after").alias("variant")
+    place = F.struct("doc_id", "doc", "at")
+    # a fingerprint that stands once only has nothing to match: counts are summed before the shuffle
+    twice = posts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    twice = written(twice, "fingerprints")
+    shared = posts.join(sized(twice, twice.count()), "fp", "left_semi").withColumn("variant", variant)
+    first = written(shared.groupBy("variant", "fp").agg(F.min(place).alias("m")), "variants")
+    source = first.groupBy("fp").agg(F.min("m").alias("s")).select("fp", F.col("s.doc_id").alias("source_doc_id"))
+    known = first.join(source, "fp").select("variant", F.col("m.doc").alias("first_doc"), "source_doc_id")
+    tagged = shared.join(known, "variant")
+    there = tagged.where("doc != first_doc").select("doc_id", "doc", (F.col("at") - F.length("before") / 8).cast("int").alias("first_line"), (F.col("at") + F.col("lines") + F.length("after") / 8).cast("int").alias("end_line"), "source_doc_id")
+    new = tagged.where("doc = first_doc").select("fp", "doc_id", "doc", "at", "lines", "before", "after")
+    return new.repartition("fp").sortWithinPartitions("fp", "doc_id", "doc", "at").mapInArrow(_matched, "doc_id bigint, doc bigint, first_line int, end_line int, source_doc_id bigint").unionByName(there)
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
