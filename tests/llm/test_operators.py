@@ -193,6 +193,18 @@ def test_line_dedup_is_brute_force_for_runs_of_over_50_words(spark):
             assert any(cut[i][k] in cut[j] for j in range(i)) or cut[i].index(cut[i][k]) < k
 
 
+def test_line_dedup_of_many_copies_and_repeats_within_a_document(spark):
+    passage = prose(1, [30, 30, 30])
+    rows = [(i, passage) for i in range(2, 200)] + [(1, prose(2, [20]) + passage + prose(3, [20])), (None, prose(4, [9]) + passage), (300, prose(5, [15]) + passage + prose(6, [40, 40]) + passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {}
+    for r in lines.run_report(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.first_line, r.end_line, r.source_doc_id))
+    # nulls are first, and so the source of all
+    assert got == {**{i: [(0, 3, None)] for i in range(2, 200)}, 1: [(1, 4, None)], 300: [(1, 4, None), (6, 9, None)]}
+    assert sorted(r.doc_id or 0 for r in lines.deduplicated(docs).collect()) == [0, 1, 300]
+
+
 # --- decontamination
 
 

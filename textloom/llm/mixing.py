@@ -118,9 +118,8 @@ def budgets(counts: DataFrame, weights: dict[str, float] | None = None, total: i
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "source string, weight double")
         weighed = sums.join(F.broadcast(given), "source")
     weighed = written(weighed, "weights")
-    # shares of sources in order of their names, so that sums of floats don't depend on how rows are spread
-    shares = weighed.where("sum > 0").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("source", "weight"))), F.lit(0.0), lambda a, x: a + x.weight).alias("whole"))
-    whole = shares.first().whole
+    # decimals add up to the same whatever their order, so that budgets don't depend on how rows are spread
+    whole = float(weighed.where("sum > 0").agg(F.coalesce(F.sum(F.col("weight").cast("decimal(28,9)")), F.lit(0))).first()[0])
     if not whole:
         return weighed.select("source", F.lit(0).cast("bigint").alias("budget"))
     most = total if total is not None else weighed.where("sum > 0").agg(F.min(F.floor(F.col("sum") * F.lit(whole) / F.col("weight")))).first()[0]
