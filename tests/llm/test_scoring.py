@@ -94,3 +94,24 @@ def test_a_long_text_that_stands_in_the_corpus_and_empty_tables(spark):
     empty = docs.where("doc_id < 0")
     assert infinigram.scores(empty).count() == 0
     assert [x.perplexity for x in infinigram.scores(empty, docs.where("doc_id = 2")).collect()] == [pytest.approx(1)]
+
+
+def test_what_is_indexed_follows_the_words_shared_with_queries(spark, monkeypatch):
+    r = random.Random(5)
+    own, other = (["".join(r.choices("abcdefgh", k=6)) for _ in range(k)] for k in (200, 3_000))
+    copied = " ".join(own[50:90])
+    texts = [" ".join(own), *(f"{r.choice(other)} x{k} {copied} y{k}" for k in range(30)), *(" ".join(r.sample(other, 100)) for _ in range(300))]
+    docs = spark.createDataFrame([(100 if k == 0 else 100 * k + 1, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    sizes, write = {}, infinigram.written
+
+    def written(df, name):
+        out = write(df, name)
+        if "words" in out.columns:
+            sizes[name] = sum(len(x.words) // 8 for x in out.where("words IS NOT NULL").collect())
+        return out
+
+    monkeypatch.setattr(infinigram, "written", written)
+    got = infinigram.scores(docs).collect()
+    same(got[0], own, [t.split() for t in texts[1:31]] + [[w] for t in texts[31:] for w in t.split()])
+    # of 31,600 words the query's own row and one run for its 30 copies
+    assert 240 <= sizes["runs"] <= 300 and sizes["scanned"] <= 500

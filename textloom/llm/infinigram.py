@@ -1,11 +1,12 @@
-"""Unbounded n-gram scoring with sharded suffix arrays.
+"""Unbounded n-gram scoring with hashed counts of short n-grams and suffix arrays of the stretches that queries share.
 
-The corpus is cut into shards of about SHARD_WORDS words as it is scanned; each shard's suffix array over word numbers is built once (prefix doubling over the positions that are
-not told apart yet) and written. Queries come in blocks of about BLOCK_WORDS words, and each block reads the shards twice:
+Queries go in blocks of about BLOCK_WORDS words. The corpus is scanned once:
 
-1. Binary search in the suffix arrays gives each query position's longest match in any shard; a match that one suffix interval shares is followed at once by word hashes, so a long copy
-   costs a few searches, not one for each word. From these follows the longest context of each word, whatever its length.
-2. The contexts found, and these with their word, are looked up again, each different one once, and their counts summed over the shards.
+1. Its n-grams of up to SHORT words that a sieve of the queries' n-grams lets through are counted by 64-bit hash, added up in each task and then over all, and joined with the blocks that have them.
+2. A longer match lies in a run: a stretch in which every n-gram of SHORT + 1 words passes the queries' sieve. Runs that repeat are one run with its count; those of query rows keep their row's key. A join by the hashes
+   of these n-grams cuts each run to the stretches that a block has, so what a block gets follows its own words and what the corpus shares with them, not the corpus.
+3. One task scores a block: a suffix array of its runs (several, one after the other, beyond SHARD_WORDS words) gives each query position's longest match by binary search; a match that one suffix interval shares is followed at once by word
+   hashes, so a long copy costs a few searches, not one for each word. From these follows the longest context of each word, whatever its length; contexts of more than SHORT words, and these with their word, are counted there too.
 
 With c(.) the exact corpus counts, w a word, v the word before it and h its longest context (the longest run of words before it that the corpus has),
 
@@ -14,7 +15,7 @@ With c(.) the exact corpus counts, w a word, v the word before it and h its long
 where a level whose context the corpus lacks is left out; N is the corpus' words and V = N + 1 a bound on its vocabulary. As an operator the queries are the rows whose id is divisible by EVERY, and
 all rows are the corpus; what a query's own row (and rows that repeat it, with its id and text) holds is left out of its counts and contexts.
 
-What a task returns are different suffixes and counts, combined over its shards, so it grows with the corpus and never beyond; a block's results meet on the driver, 8 bytes for each of its words and looked-up contexts.
+The sieves only say what is worth sending: what passes them wrongly finds no partner. They have 16 bits or more for each word of the queries, up to SIEVE_BITS. Nothing but them passes through the driver.
 
 Defined cases: null and empty queries have no words: null scores, 0 words; null and empty corpus texts hold nothing; matches don't cross documents; an empty corpus gives every word 1 / V;
 a row with a null id is no query of every(), but corpus; rows that repeat are scored each; rows with equal id but different texts are different documents and count for each other. Extra columns stay and take no part.
@@ -23,6 +24,7 @@ a row with a null id is no query of every(), but corpus; rows that repeat are sc
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -30,17 +32,24 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power, discard, mix, pieces, word_codes, written
+from .common import _power, as_signed, discard, mix, pieces, rolled, row_ids, word_codes, written
 
 SHARD_WORDS = 1_250_000
 MU = 1.0
-#: Words of queries that are searched at once; more are searched in several passes over the shards.
-BLOCK_WORDS = 500_000
+#: Words of queries that one task scores.
+BLOCK_WORDS = 100_000
 EVERY = 100
-_PART = 1 << 16
+#: N-grams of up to so many words are counted by hash.
+SHORT = 3
+#: Bits of the sieves for n-grams of 2, 3, ... SHORT + 1 words at most: 64 MB together.
+SIEVE_BITS = {2: 1 << 27, 3: 1 << 27, 4: 1 << 28}
+_PART = 1 << 18
+#: Different n-grams, and words of runs, that a task adds up before it sends them.
+_HELD = 1 << 21
 #: Starts that are searched at a time, so that what is held for them stays small.
 _STARTS = 1 << 17
 
@@ -254,85 +263,165 @@ def numbers(shard: Shard, codes: np.ndarray, which: np.ndarray) -> np.ndarray:
     return np.where(shard.vocabulary[at] == codes, at + shard.marks, -1)[which]
 
 
-INDEX = "n bigint, numbers binary, ends binary, keys binary, vocabulary binary, suffixes binary"
+def grams(codes: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that begin n words of one document, and those words' hashes. left: words from each place to its document's end."""
+    at = np.flatnonzero(left[: max(0, len(codes) - n + 1)] >= n)
+    return at, rolled(codes, n)[at] + np.uint64(n)
 
 
-def _indexing(shard_words: int):
+def _left(at: np.ndarray) -> np.ndarray:
+    return np.repeat(at[1:], np.diff(at)) - np.arange(at[-1])
+
+
+def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a sieve of so many bits (a power of 2)."""
+    return (hashes & np.uint64(bits - 1)).astype(np.int64), (hashes >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    one, two = _probes(hashes, 8 * len(sieve))
+    out = (sieve[one >> 3] >> (one & 7).astype(np.uint8) & 1).astype(bool)
+    some = np.flatnonzero(out)
+    out[some] = sieve[two[some] >> 3] >> (two[some] & 7).astype(np.uint8) & 1
+    return out
+
+
+def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a column of codes one after the other, and where each row's begin."""
+    docs = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint64), *docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+
+
+def _sieves(coded: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """For each n the bits of all n-grams of the queries, joined over all tasks."""
+    bits = {n: min(most, max(_PART, 1 << (16 * max(total, 1)).bit_length())) for n, most in SIEVE_BITS.items()}
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, at = _arrays(b.column(0))
+            out = {"n": [], "part": [], "bits": []}
+            for n, size in bits.items():
+                places = np.unique(np.concatenate(_probes(grams(codes, _left(at), n)[1], size)))
+                edges = np.searchsorted(places, np.arange(0, size + 1, _PART))
+                for p in np.flatnonzero(np.diff(edges)).tolist():
+                    here = np.zeros(_PART, bool)
+                    here[places[edges[p] : edges[p + 1]] - p * _PART] = True
+                    for k, v in (("n", n), ("part", p), ("bits", pa.compress(np.packbits(here, bitorder="little").tobytes(), "zstd", asbytes=True))):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("n", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())]))
+
+    def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(_PART // 8, np.uint8)
+        for x in pdf["bits"]:
+            total |= np.frombuffer(pa.decompress(x, _PART // 8, "zstd"), np.uint8)
+        return pd.DataFrame({"n": [key[0]], "part": [key[1]], "bits": [total.tobytes()]})
+
+    kind, out = "n int, part int, bits binary", {n: np.zeros(size // 8, np.uint8) for n, size in bits.items()}
+    for r in coded.select("codes").mapInArrow(parts, kind).groupBy("n", "part").applyInPandas(together, kind).collect():
+        out[r.n][r.part * _PART // 8 : (r.part + 1) * _PART // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+#: Counts have a hash, runs have words (and a key, if they are a query row's); a row with neither has words read.
+SCANNED = "hash bigint, key bigint, words binary, c bigint"
+_SCANNED = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("words", pa.binary()), ("c", pa.int64())])
+
+
+def _scanning(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[np.ndarray] = []
-        keys: list[int] = []
-        held = 0
+        sieves = shared.value
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs: dict[tuple, int] = defaultdict(int)
+        held = read = 0
 
-        def shard() -> pa.RecordBatch:
-            codes, ends = joined(docs)
-            docs.clear()
-            s = indexed(codes, ends)
-            held_ = {"numbers": s.x.astype("<i4"), "ends": ends.astype("<i8"), "keys": np.array(keys, np.int64), "vocabulary": s.vocabulary, "suffixes": s.order.astype("<i4")}
-            return pa.RecordBatch.from_pydict({"n": [held], **{k: [_squeezed(v)] for k, v in held_.items()}}, pa.schema([("n", pa.int64()), *((c, pa.binary()) for c in held_)]))
+        def counted() -> pa.RecordBatch:
+            none = pa.nulls(len(hashes), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(as_signed(hashes)), none, pa.nulls(len(hashes), pa.binary()), pa.array(counts)], schema=_SCANNED)
+
+        def shared_runs() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.array([k for k, _ in runs], pa.int64()), pa.array([w for _, w in runs], pa.binary()), pa.array(list(runs.values()), pa.int64())], schema=_SCANNED)
 
         for b in pieces(batches):
-            words, at = word_codes(b.column(1))
-            for i, key in enumerate(b.column(0).to_pylist()):
-                if at[i + 1] > at[i]:
-                    docs.append(words[at[i] : at[i + 1]].copy())
-                    keys.append(key)
-                    held += len(docs[-1])
-                if held >= shard_words:
-                    yield shard()
-                    docs, keys, held = [], [], 0
-        if held:
-            yield shard()
+            codes, at = word_codes(b.column(1))
+            left, keys, found = _left(at), b.column(0).to_pylist(), []
+            read += len(codes)
+            for n in range(1, SHORT + 1):
+                g = grams(codes, left, n)[1]
+                found.append(g if n == 1 else g[_passes(sieves[n], g)])
+            new, count = np.unique(np.concatenate(found), return_counts=True)
+            hashes, back = np.unique(np.concatenate([hashes, new]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, count]), len(hashes)).astype(np.int64)
+            if len(hashes) > _HELD:
+                yield counted()
+                hashes, counts = hashes[:0], counts[:0]
+            starts, g = grams(codes, left, SHORT + 1)
+            starts = starts[_passes(sieves[SHORT + 1], g)]
+            opens = np.concatenate([[True], np.diff(starts) != 1])[: len(starts)]
+            first, last = starts[opens], starts[np.append(opens[1:], True)[: len(starts)]] + SHORT + 1
+            for i, a, e in zip((np.searchsorted(at, first, "right") - 1).tolist(), first.tolist(), last.tolist()):
+                runs[keys[i], codes[a:e].tobytes()] += 1
+            held += int((last - first).sum())
+            if held > _HELD:
+                yield shared_runs()
+                runs.clear()
+                held = 0
+        yield counted()
+        yield shared_runs()
+        yield pa.RecordBatch.from_pydict({"hash": [None], "key": [None], "words": [None], "c": [read]}, _SCANNED)
 
     return run
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """An array as compressed bytes behind its size: rows stay small outside Python."""
-    raw = x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+def _block_grams(coded: DataFrame, sizes: range) -> DataFrame:
+    """hash, block: n-grams of the queries, with repetitions."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, at = _arrays(b.column(1))
+            block = np.repeat(b.column(0).to_numpy(), np.diff(at))
+            for n in sizes:
+                where, g = grams(codes, _left(at), n)
+                _, one = np.unique(mix(g) ^ mix(block[where].astype(np.uint64)), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(as_signed(g[one])), pa.array(block[where[one]])], names=["hash", "block"])
 
-def _opened(value: pa.Scalar, kind: str) -> np.ndarray:
-    held = value.as_buffer()
-    size = int.from_bytes(held[:8].to_pybytes(), "little")
-    return np.frombuffer(pa.decompress(held[8:], size, "zstd"), kind)
+    return coded.select("block", "codes").mapInArrow(run, "hash bigint, block bigint").distinct()
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, np.ndarray]]:
-    for b in batches:
-        for k in range(b.num_rows):
-            x, ends, keys, vocabulary, order = (_opened(b.column(c)[k], kind) for c, kind in enumerate(("<i4", "<i8", "<i8", "<u8", "<i4"), 1))
-            yield opened(x, ends, vocabulary, order), keys
+def _block_runs(runs: DataFrame, coded: DataFrame) -> DataFrame:
+    """block, key, words, c: the stretches of the runs that each block has."""
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            codes, at = _arrays(b.column(1))
+            where, g = grams(codes, _left(at), SHORT + 1)
+            row = row_ids(at)[where]
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(g)), pa.array(b.column(0).to_numpy()[row]), pa.array((where - at[row]).astype(np.int32))], names=["hash", "run", "place"])
 
-@dataclass
-class Block:
-    """Queries that are searched together."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            out: dict[tuple, int] = defaultdict(int)
+            for block, key, words, c, at in zip(*(b.column(k).to_pylist() for k in range(5))):
+                at = np.sort(np.array(at, np.int64))
+                opens = np.concatenate([[True], np.diff(at) != 1])
+                for a, e in zip(at[opens].tolist(), at[np.append(opens[1:], True)].tolist()):
+                    out[block, key, words[8 * a : 8 * (e + SHORT + 1)]] += c
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array([k[2] for k in out], pa.binary()), pa.array(list(out.values()), pa.int64())], names=["block", "key", "words", "c"])
 
-    codes: np.ndarray
-    ends: np.ndarray
-    keys: np.ndarray | None  #: of the documents that are left out, ascending as the documents are
-    different: np.ndarray  #: the words once each, ascending
-    which: np.ndarray  #: of each place
-    order: np.ndarray  #: the suffix array of the queries: neighbours are looked up one after the other
+    hits = runs.select("run", "words").mapInArrow(places, "hash bigint, run bigint, place int").join(_block_grams(coded, range(SHORT + 1, SHORT + 2)), "hash").groupBy("run", "block").agg(F.collect_list("place").alias("at"))
+    return hits.join(runs, "run").select("block", "key", "words", "c", "at").mapInArrow(cut, "block bigint, key bigint, words binary, c bigint").groupBy("block", "key", "words").agg(F.sum("c").alias("c"))
 
 
-def longest(shard: Shard, keys: np.ndarray, q: Run, block: Block) -> np.ndarray:
-    """For each start, in the block's suffix order, the longest match in the shard without rows of its own key."""
-    start = block.order
+def longest(shard: Shard, keys: np.ndarray, q: Run, words: np.ndarray, start: np.ndarray, own_keys: np.ndarray | None) -> np.ndarray:
+    """For each start the longest match in the shard without documents of its own key. keys: of the shard's documents; own_keys: of the queries, ascending. The shard has at most one document with a query's key: that query as a whole."""
     doc = np.searchsorted(q.ends, start)
     most = q.ends[doc] - start
-    depth, low, _ = shard.narrowed(q, numbers(shard, block.different, block.which), start, most)
-    # starts with one and the same match need to be named once
-    new = np.zeros(len(start), bool)
-    new[np.unique((low.astype(np.int64) << 32) + depth, return_index=True)[1]] = True
-    out = np.where(new, depth, 0).astype(np.int64)
-    if block.keys is not None and len(block.keys):
-        own = np.searchsorted(block.keys, keys)
-        own[own == len(block.keys)] = 0
-        mine = np.flatnonzero(block.keys[own] == keys)
+    out = shard.narrowed(q, words, start, most)[0].astype(np.int64)
+    if own_keys is not None and len(own_keys):
+        own = np.searchsorted(own_keys, keys)
+        own[own == len(own_keys)] = 0
+        mine = np.flatnonzero(own_keys[own] == keys)
         if len(mine):
-            place = np.full(len(block.keys), -1)
+            place = np.full(len(own_keys), -1)
             place[own[mine]] = mine
             here = np.flatnonzero(place[doc] >= 0)
             of = place[doc[here]]
@@ -352,82 +441,58 @@ def longest(shard: Shard, keys: np.ndarray, q: Run, block: Block) -> np.ndarray:
     return out
 
 
-def _packed(values: np.ndarray) -> pa.RecordBatch:
-    """The entries of values that aren't 0, by parts of _PART places."""
-    at = np.flatnonzero(values)
-    edges = np.searchsorted(at, np.arange(0, len(values) + _PART, _PART))
-    parts = [p for p in range(len(edges) - 1) if edges[p + 1] > edges[p]]
-    cut = lambda x, kind: [pa.compress(x[edges[p] : edges[p + 1]].astype(kind).tobytes(), "zstd", asbytes=True) for p in parts]
-    return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "size": pa.array([int(edges[p + 1] - edges[p]) for p in parts], pa.int32()), "at": pa.array(cut(at % _PART, "<u2"), pa.binary()), "value": pa.array(cut(values[at], "<i8"), pa.binary())})
-
-
-PACKED = "part int, size int, at binary, value binary"
-
-
-def _combined(sum_: bool):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_PART, np.int64)
-        for size, at, value in zip(pdf["size"], pdf["at"], pdf["value"]):
-            at = np.frombuffer(pa.decompress(at, 2 * size, "zstd"), "<u2").astype(np.int64)
-            value = np.frombuffer(pa.decompress(value, 8 * size, "zstd"), "<i8")
-            total[at] = total[at] + value if sum_ else np.maximum(total[at], value)
-        return pd.DataFrame({"part": [key[0]], "total": [pa.compress(total.astype("<i8").tobytes(), "zstd", asbytes=True)]})
-
-    return run
-
-
-def _gathered(index: DataFrame, task, n: int, sum_: bool) -> np.ndarray:
-    out = np.zeros(-(-max(n, 1) // _PART) * _PART, np.int64)
-    for r in index.mapInArrow(task, PACKED).groupBy("part").applyInPandas(_combined(sum_), "part int, total binary").collect():
-        out[r.part * _PART : (r.part + 1) * _PART] = np.frombuffer(pa.decompress(r.total, 8 * _PART, "zstd"), "<i8")
-    return out[:n]
-
-
 def contexts(matched: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """The longest context of each place from the longest match of each start: the first start, in its document, whose match reaches the place. docs: where each place's document begins."""
     i = np.arange(len(matched))
     return np.minimum(i - np.searchsorted(np.maximum.accumulate(i + matched), i), i - docs)
 
 
-def carried(known: np.ndarray, agree: np.ndarray) -> np.ndarray:
-    """For each k the most of min(known[j], agree[j + 1], ..., agree[k]) for j up to k. Steps x -> max(a, min(b, x)) are joined in stretches of 1, 2, 4, ..."""
-    a, b = known.copy(), agree.copy()
-    h = 1
-    while h < len(a):
-        a[h:], b[h:] = np.maximum(a[h:], np.minimum(b[h:], a[:-h])), np.minimum(b[h:], b[:-h])
-        h *= 2
-    return a
-
-
-def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool) -> list[dict]:
-    """Scores of a block's rows (key, copies, codes)."""
-    spark = index.sparkSession
-    docs = [np.frombuffer(r.codes, np.uint64) for r in rows]
+def _scored(rows: list[tuple[int, int, bytes]], hashes: np.ndarray, hash_counts: np.ndarray, runs: list[tuple[int | None, bytes, int]], total: int, mu: float, leave_out: bool, shard_words: int) -> list[dict]:
+    """Scores of a block's rows (key, copies, codes), ascending by key. hashes: of its short n-grams that the corpus has, ascending, with their counts; runs: key, words, count."""
+    docs = [np.frombuffer(r[2], np.uint64) for r in rows]
+    keys, copies = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     codes, ends = joined(docs)
     own = indexed(codes, ends)
     q, n = own.run, len(codes)
     different, which = np.unique(codes, return_inverse=True)
-    order = own.order[own.marks :]  # without the marks themselves
-    block = Block(codes, ends, np.array([r.key for r in rows], np.int64) if leave_out else None, different, which, order)
-    shared = spark.sparkContext.broadcast(block)
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared.value
-        run, best = Run(x.codes, x.ends), np.zeros(len(x.order), np.int64)
-        for shard, keys in _shards(batches):
-            np.maximum(best, longest(shard, keys, run, x), out=best)
-        yield _packed(best)
-
-    best = _gathered(index, matching, len(order), False)
-    shared.unpersist()
-    doc = np.searchsorted(ends, order)
-    # a start has what its neighbours in suffix order have, as far as they agree
-    agree = np.zeros(len(order), np.int64)
-    agree[1:] = common(q, order[1:], q, order[:-1], np.zeros(max(0, len(order) - 1), np.int64), np.minimum(ends[doc[1:]] - order[1:], ends[doc[:-1]] - order[:-1])) if len(order) else 0
-    best = np.maximum(carried(best, agree), carried(best[::-1], np.concatenate([[0], agree[1:][::-1]]))[::-1]) if len(order) else best
-    matched = np.zeros(n, np.int64)
-    matched[order] = best
+    own_words = numbers(own, different, which)
     of = np.searchsorted(ends, np.arange(n))
+    left = ends[of] - np.arange(n)
+    by_doc = np.sort(np.searchsorted(ends, own.order) * (n + 1) + np.arange(n))
+    other = np.setdiff1d(np.arange(len(keys) + 1), keys)[0]  # what runs of no query row have for a key
+    #: runs in shards of about shard_words words
+    cuts = np.cumsum([len(w) // 8 for _, w, _ in runs]) // shard_words if runs else np.zeros(0, np.int64)
+
+    def shards() -> Iterator[tuple[Shard, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each with its documents' keys, the runs before each suffix in its order, and the block's words as its numbers."""
+        for k in np.unique(cuts):
+            a, b = np.searchsorted(cuts, [k, k + 1])
+            shard = indexed(*joined([np.frombuffer(w, np.uint64) for _, w, _ in runs[a:b]]))
+            times = np.array([c for _, _, c in runs[a:b]], np.int64)[np.searchsorted(shard.run.ends, shard.order)]
+            yield shard, np.array([other if x is None else x for x, _, _ in runs[a:b]], np.int64), np.concatenate([[0], np.cumsum(times)]), numbers(shard, different, which)
+
+    held = [*shards()] if len(cuts) and cuts[0] == cuts[-1] else None
+
+    def short(start: np.ndarray, size: int) -> np.ndarray:
+        """How often the corpus has the words from each start."""
+        g = rolled(codes, size)[start] + np.uint64(size)
+        at = np.minimum(np.searchsorted(hashes, g), max(0, len(hashes) - 1))
+        return np.where(hashes[at] == g, hash_counts[at], 0) if len(hashes) else np.zeros(len(g), np.int64)
+
+    def held_by_own(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """How often the query's own rows have them."""
+        _, low, high = own.narrowed(q, own_words, start, size)
+        mine = of[start] * (n + 1)
+        return (np.searchsorted(by_doc, mine + high) - np.searchsorted(by_doc, mine + low)) * copies[of[start]]
+
+    matched = np.zeros(n, np.int64)
+    for size in range(1, SHORT + 1):
+        start = np.flatnonzero(left >= size)
+        there = short(start, size) - (held_by_own(start, np.full(len(start), size)) if leave_out else 0)
+        matched[start[there > 0]] = size
+    order = own.order[own.marks :]  # without the marks themselves; neighbours are looked up one after the other
+    for shard, of_runs, _, as_numbers in held or shards():
+        matched[order] = np.maximum(matched[order], longest(shard, of_runs, q, as_numbers, order, keys if leave_out else None))
     begins = np.concatenate([[0], ends[:-1] + 1])[of] if n else np.zeros(0, np.int64)
     context = contexts(matched, begins)
     word = np.ones(n, bool)
@@ -443,26 +508,18 @@ def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool
     place = np.empty(len(by_rank), np.int64)
     place[by_rank] = np.arange(len(by_rank))
     nodes, lengths = start[first][by_rank], size[first][by_rank]
-    looked = spark.sparkContext.broadcast((codes, ends, different, which, nodes, lengths))
-
-    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ends, different, which, nodes, lengths = looked.value
-        run, counts = Run(codes, ends), np.zeros(len(nodes), np.int64)
-        for shard, _ in _shards(batches):
-            depth, low, high = shard.narrowed(run, numbers(shard, different, which), nodes, lengths)
-            counts += np.where(depth == lengths, high - low, 0).astype(np.int64)
-        yield _packed(counts)
-
-    counts = _gathered(index, counting, len(nodes), True)[place[back]]
-    looked.unpersist()
-    n_own = np.array([len(d) for d in docs], np.int64) * np.array([r.copies for r in rows], np.int64)
-    rest = total - (n_own if leave_out else 0 * n_own)
-    if leave_out:  # what the query's own rows hold, from the queries' suffix array
-        _, low, high = own.narrowed(q, numbers(own, different, which), nodes, lengths)
-        low, high = low[place[back]].astype(np.int64), high[place[back]].astype(np.int64)
-        by_doc = np.sort(np.searchsorted(ends, own.order) * (len(own.order) + 1) + np.arange(len(own.order)))
-        mine = of[start] * (len(own.order) + 1)
-        counts = counts - (np.searchsorted(by_doc, mine + high) - np.searchsorted(by_doc, mine + low)) * np.array([r.copies for r in rows], np.int64)[of[start]]
+    counts = np.zeros(len(nodes), np.int64)
+    for m in range(1, SHORT + 1):
+        some = np.flatnonzero(lengths == m)
+        counts[some] = short(nodes[some], m)
+    some = np.flatnonzero(lengths > SHORT)
+    for shard, _, before, as_numbers in (held or shards()) if len(some) else ():
+        depth, low, high = shard.narrowed(q, as_numbers, nodes[some], lengths[some])
+        counts[some] += np.where(depth == lengths[some], before[high] - before[low], 0)
+    counts = counts[place[back]]
+    if leave_out:
+        counts -= held_by_own(start, size)
+    rest = total - (np.array([len(d) for d in docs], np.int64) * copies if leave_out else np.zeros(len(docs), np.int64))
     c, k = [], 0
     for s, _, ok in asked:
         x = np.zeros(len(s), np.int64)
@@ -478,14 +535,15 @@ def _scored(index: DataFrame, rows: list, total: int, mu: float, leave_out: bool
     for d, r in enumerate(rows):
         a, b = edges[d], edges[d + 1]
         if a == b:
-            out.append({"key": r.key, "n_words": 0, "log_prob": None, "perplexity": None, "mean_context": None, "longest_context": None, "unseen": 0})
+            out.append({"key": r[0], "n_words": 0, "log_prob": None, "perplexity": None, "mean_context": None, "longest_context": None, "unseen": 0})
             continue
         total_log = math.fsum(log[a:b])
-        out.append({"key": r.key, "n_words": int(b - a), "log_prob": total_log, "perplexity": math.exp(-total_log / (b - a)), "mean_context": float(long[a:b].mean()), "longest_context": int(long[a:b].max()), "unseen": int((c[0][a:b] <= 0).sum())})
+        out.append({"key": r[0], "n_words": int(b - a), "log_prob": total_log, "perplexity": math.exp(-total_log / (b - a)), "mean_context": float(long[a:b].mean()), "longest_context": int(long[a:b].max()), "unseen": int((c[0][a:b] <= 0).sum())})
     return out
 
 
 SCORES = "key bigint, n_words int, log_prob double, perplexity double, mean_context double, longest_context int, unseen int"
+_SCORES = pa.schema([("key", pa.int64()), ("n_words", pa.int32()), ("log_prob", pa.float64()), ("perplexity", pa.float64()), ("mean_context", pa.float64()), ("longest_context", pa.int32()), ("unseen", pa.int32())])
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,15 +561,28 @@ def scores(corpus: DataFrame, queries: DataFrame | None = None, id_col: str = "d
     if queries is None:
         queries, query_text = corpus.where(F.pmod(F.col(id_col).cast("bigint"), F.lit(every)) == 0), text_col
     rows = queries.select(F.col(id_col), key(F.col(id_col), F.col(query_text)).alias("key"), F.col(query_text).cast("string").alias("text"))
-    index = written(corpus.select((key(F.col(id_col), F.col(text_col)) if leave_out else F.lit(0).cast("bigint")).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(_indexing(shard_words), INDEX), "suffixes")
     coded = written(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("key", "text", "copies").mapInArrow(_coded, "key bigint, copies bigint, codes binary"), "queries")
-    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(coded.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] / 8 / block_words))
-    done = None
-    for k in range(blocks):
-        block = sorted(coded.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect(), key=lambda r: r.key)
-        scored = _scored(index, block, total, mu, leave_out) if block else []
-        part = written(spark.createDataFrame([tuple(r.values()) for r in scored], SCORES), "scores")
-        done = part if done is None else done.unionByName(part)
-    discard(index, coded)
+    asked = coded.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 8
+    blocks = max(1, math.ceil(asked / block_words))
+    blocked = coded.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("bigint"))
+    shared = spark.sparkContext.broadcast(_sieves(coded, asked))
+    own = F.when(F.pmod(F.col(id_col).cast("bigint"), F.lit(every)) == 0, key(F.col(id_col), F.col(text_col))) if leave_out else F.lit(None).cast("bigint")
+    scanned = written(corpus.select(own.alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanning(shared), SCANNED), "scanned")
+    shared.unpersist()
+    total = scanned.where("hash IS NULL AND words IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    counts = scanned.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("c").alias("c")).join(_block_grams(blocked, range(1, SHORT + 1)), "hash")
+    runs = written(scanned.where("words IS NOT NULL").groupBy("key", "words").agg(F.sum("c").alias("c")).withColumn("run", F.monotonically_increasing_id()), "runs")
+    found = counts.select("block", "hash", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("binary").alias("words"), "c").unionByName(_block_runs(runs, blocked).withColumn("hash", F.lit(None).cast("bigint")))
+
+    def scored(asking: pa.Table, found: pa.Table) -> pa.Table:
+        asking = asking.sort_by("key")
+        short = found.filter(pc.is_valid(found.column("hash")))
+        hashes, counts = short.column("hash").to_numpy().view(np.uint64), short.column("c").to_numpy()
+        by = np.argsort(hashes)
+        long = found.filter(pc.is_valid(found.column("words")))
+        out = _scored(list(zip(*(asking.column(c).to_pylist() for c in ("key", "copies", "codes")))), hashes[by], counts[by], list(zip(*(long.column(c).to_pylist() for c in ("key", "words", "c")))), total, mu, leave_out, shard_words) if asking.num_rows else []
+        return pa.Table.from_pylist(out, _SCORES)
+
+    done = written(blocked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, SCORES), "scores")
+    discard(scanned, runs, coded)
     return rows.drop("text").join(done, "key").drop("key")
