@@ -95,6 +95,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 #: Bytes of text that are hashed at once, so that the arrays stay in the processor's cache.
 _SLICE = 1 << 19
+#: Bytes of text whose words are held at once by tasks that hold much besides: arrays over them are some MB each.
+PIECE = 1 << 21
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -195,8 +197,17 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_500) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of some rows: arrays over the words of thousands of documents at once would need hundreds of MB."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1_500, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows: arrays over the words of thousands of documents at once would need hundreds of MB. With size, slices of more rows than one have at most so many bytes in their strings."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        held = np.zeros(b.num_rows + 1, np.int64)
+        for c in b.columns if size else ():
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+                held[1:] += np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k = 0
+        while k < b.num_rows:
+            end = min(k + rows, b.num_rows)
+            if size:
+                end = min(end, max(k + 1, int(np.searchsorted(held, held[k] + size, side="right")) - 1))
+            yield b.slice(k, end - k)
+            k = end

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WORDS_SQL, checkpointed, free_names, pieces, rolled, row_ids, word_codes, words, written
+from .common import PIECE, WORD, WORDS_SQL, checkpointed, free_names, pieces, rolled, row_ids, word_codes, words, written
 
 N = 8
 LEAST = 5
@@ -108,7 +108,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared.value)
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             ids, out = b.column(0), []
             for i, hit, count in scan(b.column(1)):
                 out += [{"doc_id": ids[i].as_py(), **s, "doc_words": count} for s in hit]
@@ -162,7 +162,7 @@ def _row_spans(numbered: DataFrame, grams: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             codes, at = word_codes(b.column(2))
             rows, found = row_ids(at), []
             for n in lengths:
@@ -253,7 +253,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(shared.value)
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             yield _cleaned(b, scan(b.column(b.schema.names.index(text_col))), text_col, drop_share)
 
     return docs.mapInArrow(cleaned, docs.schema)

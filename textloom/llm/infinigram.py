@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power, as_signed, discard, mix, pieces, rolled, row_ids, word_codes, written
+from .common import PIECE, _power, as_signed, discard, mix, pieces, rolled, row_ids, word_codes, written
 
 SHARD_WORDS = 1_250_000
 MU = 1.0
@@ -341,7 +341,7 @@ def _scanning(shared):
         def shared_runs() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.int64()), pa.array([k for k, _ in runs], pa.int64()), pa.array([w for _, w in runs], pa.binary()), pa.array(list(runs.values()), pa.int64())], schema=_SCANNED)
 
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             codes, at = word_codes(b.column(1))
             left, keys, found = _left(at), b.column(0).to_pylist(), []
             read += len(codes)
@@ -391,14 +391,14 @@ def _block_runs(runs: DataFrame, coded: DataFrame) -> DataFrame:
     """block, key, words, c: the stretches of the runs that each block has."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             codes, at = _arrays(b.column(1))
             where, g = grams(codes, _left(at), SHORT + 1)
             row = row_ids(at)[where]
             yield pa.RecordBatch.from_arrays([pa.array(as_signed(g)), pa.array(b.column(0).to_numpy()[row]), pa.array((where - at[row]).astype(np.int32))], names=["hash", "run", "place"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, size=PIECE):
             out: dict[tuple, int] = defaultdict(int)
             for block, key, words, c, at in zip(*(b.column(k).to_pylist() for k in range(5))):
                 at = np.sort(np.array(at, np.int64))
