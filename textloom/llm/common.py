@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,32 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _malloc(name: str, *args: int) -> None:
+    """A call of the C library's allocator, where it has it."""
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def settle() -> None:
+    """Gives freed memory back to the system, and makes arrays of 1 MB or more be given back as soon as they are freed. Python workers outlive their tasks, and what they hold is the executor's."""
+    pa.default_memory_pool().release_unused()
+    _malloc("mallopt", -3, 1 << 20)  # M_MMAP_THRESHOLD: else it follows the largest array freed, up to 32 MB
+    _malloc("malloc_trim", 0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with settle() before and after it."""
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        yield from run(batches)
+        settle()
+
+    return settled
+
+
 def free_names(df: DataFrame | list[str], *wanted: str) -> list[str]:
     """The wanted column names, each with as many underscores behind it as no column of df (compared without case) has."""
     taken, out = {c.lower() for c in (df if isinstance(df, list) else df.columns)}, []

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, _power, as_signed, discard, mix, pieces, rolled, row_ids, word_codes, written
+from .common import PIECE, _power, as_signed, discard, lean, mix, pieces, rolled, row_ids, settle, word_codes, written
 
 SHARD_WORDS = 1_250_000
 MU = 1.0
@@ -317,7 +317,7 @@ def _sieves(coded: DataFrame, total: int) -> dict[int, np.ndarray]:
         return pd.DataFrame({"n": [key[0]], "part": [key[1]], "bits": [total.tobytes()]})
 
     kind, out = "n int, part int, bits binary", {n: np.zeros(size // 8, np.uint8) for n, size in bits.items()}
-    for r in coded.select("codes").mapInArrow(parts, kind).groupBy("n", "part").applyInPandas(together, kind).collect():
+    for r in coded.select("codes").mapInArrow(lean(parts), kind).groupBy("n", "part").applyInPandas(together, kind).collect():
         out[r.n][r.part * _PART // 8 : (r.part + 1) * _PART // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -384,7 +384,7 @@ def _block_grams(coded: DataFrame, sizes: range) -> DataFrame:
                 _, one = np.unique(mix(g) ^ mix(block[where].astype(np.uint64)), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(as_signed(g[one])), pa.array(block[where[one]])], names=["hash", "block"])
 
-    return coded.select("block", "codes").mapInArrow(run, "hash bigint, block bigint").distinct()
+    return coded.select("block", "codes").mapInArrow(lean(run), "hash bigint, block bigint").distinct()
 
 
 def _block_runs(runs: DataFrame, coded: DataFrame) -> DataFrame:
@@ -407,8 +407,8 @@ def _block_runs(runs: DataFrame, coded: DataFrame) -> DataFrame:
                     out[block, key, words[8 * a : 8 * (e + SHORT + 1)]] += c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array([k[2] for k in out], pa.binary()), pa.array(list(out.values()), pa.int64())], names=["block", "key", "words", "c"])
 
-    hits = runs.select("run", "words").mapInArrow(places, "hash bigint, run bigint, place int").join(_block_grams(coded, range(SHORT + 1, SHORT + 2)), "hash").groupBy("run", "block").agg(F.collect_list("place").alias("at"))
-    return hits.join(runs, "run").select("block", "key", "words", "c", "at").mapInArrow(cut, "block bigint, key bigint, words binary, c bigint").groupBy("block", "key", "words").agg(F.sum("c").alias("c"))
+    hits = runs.select("run", "words").mapInArrow(lean(places), "hash bigint, run bigint, place int").join(_block_grams(coded, range(SHORT + 1, SHORT + 2)), "hash").groupBy("run", "block").agg(F.collect_list("place").alias("at"))
+    return hits.join(runs, "run").select("block", "key", "words", "c", "at").mapInArrow(lean(cut), "block bigint, key bigint, words binary, c bigint").groupBy("block", "key", "words").agg(F.sum("c").alias("c"))
 
 
 def longest(shard: Shard, keys: np.ndarray, q: Run, words: np.ndarray, start: np.ndarray, own_keys: np.ndarray | None) -> np.ndarray:
@@ -561,13 +561,13 @@ def scores(corpus: DataFrame, queries: DataFrame | None = None, id_col: str = "d
     if queries is None:
         queries, query_text = corpus.where(F.pmod(F.col(id_col).cast("bigint"), F.lit(every)) == 0), text_col
     rows = queries.select(F.col(id_col), key(F.col(id_col), F.col(query_text)).alias("key"), F.col(query_text).cast("string").alias("text"))
-    coded = written(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("key", "text", "copies").mapInArrow(_coded, "key bigint, copies bigint, codes binary"), "queries")
+    coded = written(rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("key", "text", "copies").mapInArrow(lean(_coded), "key bigint, copies bigint, codes binary"), "queries")
     asked = coded.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 8
     blocks = max(1, math.ceil(asked / block_words))
     blocked = coded.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("bigint"))
     shared = spark.sparkContext.broadcast(_sieves(coded, asked))
     own = F.when(F.pmod(F.col(id_col).cast("bigint"), F.lit(every)) == 0, key(F.col(id_col), F.col(text_col))) if leave_out else F.lit(None).cast("bigint")
-    scanned = written(corpus.select(own.alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanning(shared), SCANNED), "scanned")
+    scanned = written(corpus.select(own.alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scanning(shared)), SCANNED), "scanned")
     shared.unpersist()
     total = scanned.where("hash IS NULL AND words IS NULL").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     counts = scanned.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("c").alias("c")).join(_block_grams(blocked, range(1, SHORT + 1)), "hash")
@@ -575,6 +575,7 @@ def scores(corpus: DataFrame, queries: DataFrame | None = None, id_col: str = "d
     found = counts.select("block", "hash", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("binary").alias("words"), "c").unionByName(_block_runs(runs, blocked).withColumn("hash", F.lit(None).cast("bigint")))
 
     def scored(asking: pa.Table, found: pa.Table) -> pa.Table:
+        settle()
         asking = asking.sort_by("key")
         short = found.filter(pc.is_valid(found.column("hash")))
         hashes, counts = short.column("hash").to_numpy().view(np.uint64), short.column("c").to_numpy()
