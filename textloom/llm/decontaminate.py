@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, WORD, WORDS_SQL, checkpointed, free_names, pieces, rolled, row_ids, word_codes, words, written
+from .common import PIECE, WORD, WORDS_SQL, checkpointed, free_names, lean, pieces, rolled, row_ids, word_codes, words, written
 
 N = 8
 LEAST = 5
@@ -49,7 +49,7 @@ def item_grams(benchmark: DataFrame, n: int = N, least: int = LEAST) -> DataFram
             yield pa.RecordBatch.from_pydict({"gram": pa.array(list(found), pa.string()), "n_words": pa.array([g.count(" ") + 1 for g in found], pa.int32()), "item_id": pa.array(list(found.values()), pa.int64())})
 
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(grams, "gram string, n_words int, item_id bigint").groupBy("gram", "n_words").agg(F.min("item_id").alias("item_id"))
+    return items.mapInArrow(lean(grams), "gram string, n_words int, item_id bigint").groupBy("gram", "n_words").agg(F.min("item_id").alias("item_id"))
 
 
 def _merged(hits: list[tuple[int, int, int]]) -> list[dict]:
@@ -114,7 +114,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 out += [{"doc_id": ids[i].as_py(), **s, "doc_words": count} for s in hit]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("doc_words", pa.int32())]))
 
-    return plain.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(found, "doc_id bigint, item_id bigint, first_word int, last_word int, doc_words int")
+    return plain.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(lean(found), "doc_id bigint, item_id bigint, first_word int, last_word int, doc_words int")
 
 
 def _joined_spans(plain: DataFrame, grams: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _sieve(grams: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [key[0]], "bits": [total.tobytes()]})
 
     out = np.zeros(SIEVE // 8, np.uint8)
-    for r in grams.select("gram").mapInArrow(parts, "part int, bits binary").groupBy("part").applyInPandas(together, "part int, bits binary").collect():
+    for r in grams.select("gram").mapInArrow(lean(parts), "part int, bits binary").groupBy("part").applyInPandas(together, "part int, bits binary").collect():
         out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -181,7 +181,7 @@ def _row_spans(numbered: DataFrame, grams: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    hits = numbered.mapInArrow(windows, "row bigint, doc_id bigint, doc_words int, first int, gram string").join(grams, "gram")
+    hits = numbered.mapInArrow(lean(windows), "row bigint, doc_id bigint, doc_words int, first int, gram string").join(grams, "gram")
     grouped = hits.groupBy("row", "doc_id", "doc_words").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("n_words") - 1).alias("last"), "item_id")).alias("hits"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _row_spans(numbered: DataFrame, grams: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(spans, kind)], names=["row", "doc_id", "doc_words", "spans"])
 
-    return grouped.mapInArrow(merged, f"row bigint, doc_id bigint, doc_words int, spans {SPANS}")
+    return grouped.mapInArrow(lean(merged), f"row bigint, doc_id bigint, doc_words int, spans {SPANS}")
 
 
 def cut_words(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -248,7 +248,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 hits = ((int(i), spans[int(i)].as_py(), count[int(i)].as_py()) for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)))
                 yield _cleaned(b.select(range(b.num_columns - 2)), hits, text_col, drop_share)
 
-        return joined.select(*docs.columns, size, cuts).mapInArrow(cut, docs.schema)
+        return joined.select(*docs.columns, size, cuts).mapInArrow(lean(cut), docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast({r.gram: r.item_id for r in rows})
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         for b in pieces(batches, size=PIECE):
             yield _cleaned(b, scan(b.column(b.schema.names.index(text_col))), text_col, drop_share)
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return docs.mapInArrow(lean(cleaned), docs.schema)
 
 
 ORACLE = f"""

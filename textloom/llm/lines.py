@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_signed, free_names, mix, pieces, ranges, row_ids, sized, word_codes, written
+from .common import WORD, as_signed, free_names, lean, mix, pieces, ranges, row_ids, sized, word_codes, written
 
 GRAM_WORDS = 25
 #: The least words of a repeated run that must be found: over 50.
@@ -208,7 +208,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Occurrences with the same lines on both sides are one variant. Of each variant only the first document goes through _matched(), one fingerprint after the other; in every later document the variant's lines are
     all there before, so it extends as far as they are carried, which a join tells (split by Spark where one variant is a third of all rows). Variants, not documents, are what one task sees of a fingerprint."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    posts = written(plain.mapInArrow(_postings, SCHEMA), "postings")
+    posts = written(plain.mapInArrow(lean(_postings), SCHEMA), "postings")
     variant = F.xxhash64("fp", "before", "after").alias("variant")
     place = F.struct("doc_id", "doc", "at")
     # a fingerprint that stands once only has nothing to match: counts are summed before the shuffle
@@ -221,7 +221,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tagged = shared.join(known, "variant")
     there = tagged.where("doc != first_doc").select("doc_id", "doc", (F.col("at") - F.length("before") / 8).cast("int").alias("first_line"), (F.col("at") + F.col("lines") + F.length("after") / 8).cast("int").alias("end_line"), "source_doc_id")
     new = tagged.where("doc = first_doc").select("fp", "doc_id", "doc", "at", "lines", "before", "after")
-    return new.repartition("fp").sortWithinPartitions("fp", "doc_id", "doc", "at").mapInArrow(_matched, "doc_id bigint, doc bigint, first_line int, end_line int, source_doc_id bigint").unionByName(there)
+    return new.repartition("fp").sortWithinPartitions("fp", "doc_id", "doc", "at").mapInArrow(lean(_matched), "doc_id bigint, doc bigint, first_line int, end_line int, source_doc_id bigint").unionByName(there)
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,4 +279,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep))
 
-    return joined.mapInArrow(cleaned, docs.schema)
+    return joined.mapInArrow(lean(cleaned), docs.schema)
