@@ -11,10 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packed
+
 WORD = "[^ \\n\\t\\r\\f]+"
 #: What lies beyond an entropy's context counts as this many equal parts.
 DEFAULT_PERPLEXITY = 4.0
@@ -99,12 +102,24 @@ def substrings(docs: DataFrame, id_col: str, text_col: str, least: int = 2, shor
     return plain.join(parents, ["id", "substring", "n"], "left_anti")
 
 
-def token_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """x, y, n, df: pairs of words next to each other. Pairs are counted within their row first, so that one shuffle of partial sums is all."""
+def row_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, x, y, n: pairs of words next to each other in the texts of an id."""
     w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda y, i: F.struct(F.element_at("w", (i + 1).cast("int")).alias("x"), y.alias("y")))
-    each = w.select("id", F.explode(pairs).alias("p")).groupBy("id", "p.x", "p.y").agg(F.count("*").alias("n"))
-    return each.groupBy("x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    return w.select("id", F.explode(pairs).alias("p")).groupBy("id", "p.x", "p.y").agg(F.count("*").alias("n"))
+
+
+def token_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """x, y, n, df: pairs of words next to each other, how often they occur and with how many different ids (null is none). Pairs are counted within their task first and sent in one packed shuffle, in which the rows of an x follow one another. Ids that
+    occur more than once (looked for at once) are counted apart: only their pairs are shuffled with them."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    again = d.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    if again.isEmpty():
+        sent = packed.text_parts(d)
+    else:
+        several = row_pairs(d.join(again, "id", "left_semi"), "id", "text").select("x", "y", "n", F.lit(1).cast("bigint").alias("df"))
+        sent = packed.text_parts(d.join(again, "id", "left_anti")).union(packed.row_parts(several, "x", "y", ["n", "df"]))
+    return packed.merged(sent, ["x", "y", "n", "df"])
 
 
 def prefix_counts(docs: DataFrame, text_col: str, longest: int = 3, least: int = 5) -> DataFrame:
@@ -126,32 +141,64 @@ def npmi(pairs: DataFrame, words: DataFrame, least: int = 5) -> DataFrame:
     return out.select("x", "y", "n", "df", "npmi", "left_branch", "right_branch", (F.col("npmi") * F.least(F.sqrt(F.col("left_branch") * F.col("right_branch")) / F.log(F.col("n") + 1), F.lit(1.0))).alias("score"))
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """d1, d2, d3: discounts of counts 1, 2, and 3 or more, from the counts of counts 1 to 4 (one row; a missing count of counts is 1)."""
-    n = counts.agg(*[F.greatest(F.sum((F.col("n") == k).cast("bigint")), F.lit(1)).cast("double").alias(f"n{k}") for k in range(1, 5)])
+def discounts(counts: DataFrame, every: bool = False) -> DataFrame:
+    """d1, d2, d3: discounts of counts 1, 2, and 3 or more, from the counts of counts 1 to 4 (one row; a missing count of counts is 1); with every also all, the number of counts."""
+    n = counts.agg(*[F.greatest(F.sum((F.col("n") == k).cast("bigint")), F.lit(1)).cast("double").alias(f"n{k}") for k in range(1, 5)], F.count("*").alias("all"))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    return n.select(*[F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0)), F.lit(float(k))).alias(f"d{k}") for k in (1, 2, 3)])
+    return n.select(*[F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.0)), F.lit(float(k))).alias(f"d{k}") for k in (1, 2, 3)], *(["all"] if every else []))
+
+
+def _behind(n: np.ndarray, first: np.ndarray) -> packed.Columns:
+    """Of each x, whose rows begin at first: the sum of n, and how many are 1, 2, and more."""
+    return [np.add.reduceat(v.astype(np.int64), first) for v in (n, n == 1, n == 2, n > 2)]
+
+
+def _known_before(fan: np.ndarray, x: np.ndarray, columns: packed.Columns) -> tuple[None, packed.Columns]:
+    return None, [*columns, fan[x]]
+
 
+def _behind_each(pairs: DataFrame) -> DataFrame:
+    """x, total, k1, k2, k3: what stands behind each word, and how many different words once, twice, and more often."""
+    return pairs.groupBy("x").agg(F.sum("n").alias("total"), *[F.sum(c.cast("bigint")).alias(k) for k, c in (("k1", F.col("n") == 1), ("k2", F.col("n") == 2), ("k3", F.col("n") > 2))])
 
-def kneser_ney(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A word bigram model with modified Kneser-Ney discounts from token_pairs(): (x, y, log_p), (x, log_gamma: weight of the lower order behind x), (y, log_p: lower order, by the different words before y)."""
-    d = discounts(pairs)
-    lower = pairs.groupBy("y").agg(F.count("*").alias("c"))
-    lower = lower.crossJoin(F.broadcast(lower.agg(F.sum("c").alias("all")))).select("y", (F.col("c") / F.col("all")).alias("p"))
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    context = pairs.crossJoin(F.broadcast(d)).groupBy("x").agg(F.sum("n").alias("total"), F.sum(cut).alias("mass"))
-    context = context.withColumn("gamma", F.col("mass") / F.col("total"))
-    high = pairs.crossJoin(F.broadcast(d)).join(context, "x").join(lower, "y").select("x", "y", F.log(F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("log_p"))
-    return high, context.select("x", F.log("gamma").alias("log_gamma")), lower.select("y", F.log("p").alias("log_p"))
+
+_GAMMA = "(k1 * d1 + k2 * d2 + k3 * d3) / total"
+_HIGH = f"ln(greatest(n - CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END, 0D) / total + {_GAMMA} * (c / `all`))"
+
+
+#: Bytes of strings and rows up to which what a text has is broadcast to the corpus; more is shuffled.
+_BROADCAST = 64 << 20
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is small; it is counted for that."""
+    size = df.agg(F.sum(sum((F.octet_length(c) for c in df.columns), F.lit(64)))).first()[0] or 0
+    return F.broadcast(df) if size <= _BROADCAST else df
+
+
+def kneser_ney(pairs: DataFrame, grouped: bool = False, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A word bigram model with modified Kneser-Ney discounts from token_pairs(): (x, y, log_p), (x, log_gamma: weight of the lower order behind x), (y, log_p: lower order, by the different words before y). With grouped the rows of an x follow one another in
+    their task, as token_pairs() has them; otherwise they are brought together first. Pairs go to their y with what is known of their x, in one packed shuffle; nothing is joined. With only (x, y) the model has just what these pairs and their words need."""
+    d = F.broadcast(discounts(pairs, every=True))
+    if only is None:
+        by_x = pairs if grouped else packed.merged(packed.row_parts(pairs, "x", "y", ["n"]), ["x", "y", "n"])
+        both = packed.merged(packed.turned(by_x, _behind), ["y", "x", "n", "total", "k1", "k2", "k3", "c"], _known_before)
+        of_x, of_y = pairs, pairs
+    else:
+        asked = [_sized(only.select(*c).distinct()) for c in (["x"], ["y"], ["x", "y"])]
+        of_x, of_y, of_both = (pairs.join(a, a.columns, "left_semi") for a in asked)
+    behind, before = _behind_each(of_x), of_y.groupBy("y").agg(F.count("*").alias("c"))
+    if only is not None:
+        both = of_both.join(behind, "x").join(before, "y")
+    context = behind.crossJoin(d).select("x", F.log(F.expr(_GAMMA)).alias("log_gamma"))
+    lower = before.crossJoin(d).select("y", F.log(F.col("c") / F.col("all")).alias("log_p"))
+    return both.crossJoin(d).select("x", "y", F.expr(_HIGH).alias("log_p")), context, lower
 
 
 def kn_scores(docs: DataFrame, id_col: str, text_col: str, model: tuple[DataFrame, DataFrame, DataFrame], floor: float = -100.0) -> DataFrame:
     """id, n_pairs, log_prob: the sum of log P(word | word before) over each text's word pairs; unseen pairs back off, unseen words have the floor. Pairs are counted within their row first."""
     high, context, lower = model
-    w = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda y, i: F.struct(F.element_at("w", (i + 1).cast("int")).alias("x"), y.alias("y")))
-    each = w.select("id", F.explode(pairs).alias("p")).groupBy("id", "p.x", "p.y").agg(F.count("*").alias("n"))
-    known = each.join(high, ["x", "y"], "left").join(context, "x", "left").join(lower.withColumnRenamed("log_p", "low"), "y", "left")
+    known = row_pairs(docs, id_col, text_col).join(high, ["x", "y"], "left").join(context, "x", "left").join(lower.withColumnRenamed("log_p", "low"), "y", "left")
     score = F.coalesce("log_p", F.col("low") + F.coalesce("log_gamma", F.lit(0.0)), F.lit(floor))
     return known.groupBy("id").agg(F.sum("n").alias("n_pairs"), F.sum(score * F.col("n")).alias("log_prob"))
 
