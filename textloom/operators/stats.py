@@ -261,17 +261,22 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 
 
 def words_and_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, word_position, line_number, begin, form: each run of non-space characters with its place among them and the line it begins in. One pass over each text in Arrow batches."""
+    """id, word_position, line_number, begin, form: each run of non-space characters with its place among them and the line it begins in. One pass over each text in Arrow batches; words go back at every packed.ROWS rows."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, end = re.compile(r"[^\s]+"), re.compile(LINE_END)
+
+        def batch(ids: pa.Array, rows: list[int], place: list[int], line: list[int], begin: list[int], form: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int32()) for x in (place, line, begin)), pa.array(form, pa.string())], names=["id", "word_position", "line_number", "begin", "form"])
+
         for b in batches:
             rows, place, line, begin, form = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ends = [m.end() for m in end.finditer(text or "")]
+            for i, v in enumerate(b.column(1)):
+                text = v.as_py() or ""
+                ends = [m.end() for m in end.finditer(text)]
                 k = 0
-                for n, m in enumerate(word.finditer(text or "")):
+                for n, m in enumerate(word.finditer(text)):
                     while k < len(ends) and ends[k] <= m.start():
                         k += 1
                     rows.append(i)
@@ -279,6 +284,9 @@ def words_and_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     line.append(k)
                     begin.append(m.start())
                     form.append(m.group())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int32()) for x in (place, line, begin)), pa.array(form, pa.string())], names=["id", "word_position", "line_number", "begin", "form"])
+                    if len(rows) >= packed.ROWS:
+                        yield batch(b.column(0), rows, place, line, begin, form)
+                        rows, place, line, begin, form = [], [], [], [], []
+            yield batch(b.column(0), rows, place, line, begin, form)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, word_position int, line_number int, begin int, form string")
